@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -19,27 +21,31 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed a single time, even when used inside a lambda."""
+    return F.transform(F.array(value), use)[0]
+
+
 def unit(a: Column) -> Column:
     """Unit-length double vector; a zero vector stays zero."""
-    length = norm(a)
-    return F.transform(
-        a, lambda v: F.when(length > 0, v.cast("double") / length).otherwise(F.lit(0.0))
-    )
+    return once(norm(a), lambda length: F.transform(
+        a, lambda v: F.when(length > 0, v.cast("double") / length).otherwise(F.lit(0.0))))
 
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine in double precision; 0 when either vector has no length."""
-    lengths = norm(a) * norm(b)
-    return F.when(lengths > 0, dot(a, b) / lengths).otherwise(F.lit(0.0))
+    return once(norm(a) * norm(b), lambda lengths: F.when(lengths > 0, dot(a, b) / lengths).otherwise(F.lit(0.0)))
 
 
 def median_of(values: Column) -> Column:
     """Median of a short array; the two middle values are averaged when the count is even."""
-    ordered = F.array_sort(values)
-    n = F.size(ordered)
-    low = F.element_at(ordered, F.floor((n + 1) / F.lit(2.0)).cast("int"))
-    high = F.element_at(ordered, (F.floor(n / F.lit(2.0)) + 1).cast("int"))
-    return F.when(n > 0, (low + high) / F.lit(2.0))
+    def middle(ordered: Column) -> Column:
+        n = F.size(ordered)
+        low = F.element_at(ordered, F.floor((n + 1) / F.lit(2.0)).cast("int"))
+        high = F.element_at(ordered, (F.floor(n / F.lit(2.0)) + 1).cast("int"))
+        return F.when(n > 0, (low + high) / F.lit(2.0))
+
+    return once(F.array_sort(values), middle)
 
 
 @F.pandas_udf(VECTOR)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from hallwatch.functions import vectors
 from hallwatch.functions.clock import micros, slot, to_micros
-from hallwatch.operators.grouped import plain_strings
+from hallwatch.operators.grouped import no_rows, plain_strings
 from hallwatch.operators.state_tables import settle
 from hallwatch.params import DEFAULTS, Params
 
@@ -103,8 +103,8 @@ def reappearance_candidates(lost: DataFrame, entries: DataFrame, p: Params = DEF
     """
     window = to_micros(p.reappear_sec)
     x = lost.filter(F.size("vectors") > 0).withColumn("exit_us", micros(F.col("exit_ts")))
-    if "until_us" not in lost.columns:
-        x = x.withColumn("until_us", F.lit(None).cast("long"))
+    no_end = F.lit(2**62).cast("long")
+    x = x.withColumn("until_us", F.coalesce("until_us", no_end) if "until_us" in lost.columns else no_end)
     x = (x.withColumn("_slot", F.explode(F.sequence(slot(F.col("exit_us"), p.reappear_sec), slot(F.col("exit_us") + window, p.reappear_sec))))
          .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
          .select("site_id", "_slot", "_salt", "exit_id", F.col("camera_id").alias("from_camera"), "exit_us", "until_us",
@@ -118,11 +118,11 @@ def reappearance_candidates(lost: DataFrame, entries: DataFrame, p: Params = DEF
     def compare(key: tuple[Any, ...], left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         columns = ["site_id", *EDGE_COLUMNS, "score"]
         if left.empty or right.empty:
-            return pd.DataFrame({c: [] for c in columns})
+            return no_rows(columns)
         sizes = left["n_vectors"].to_numpy()
         width, place = _padded(sizes)
         known = np.concatenate(left["flat"].to_numpy()).reshape(int(sizes.sum()), -1)
-        out_us, gone = left["exit_us"].to_numpy(), left["until_us"].fillna(np.iinfo(np.int64).max).astype("int64").to_numpy()
+        out_us, gone = left["exit_us"].to_numpy(), left["until_us"].to_numpy()
         cams = left["from_camera"].to_numpy()
         mid_low, mid_high = (sizes - 1) // 2, sizes // 2
         at = np.arange(len(left))

@@ -236,13 +236,13 @@ def enrolment_rows(v: Views) -> DataFrame:
     return stores.enrolment_rows(faces).select("person_id", "source_image", (F.col("emb_id") > 0).alias("has_id"))
 
 
-@query("O06", check=sql("""SELECT camera_id, frame_number, track_id, crop_id, round(quality, 6) AS quality, CASE WHEN quality > 0 THEN round(laplacian_var/800.0::DOUBLE, 3) ELSE 0.0::DOUBLE END AS first_value
+@query("O06", check=sql("""SELECT camera_id, frame_number, track_id, crop_id, round(quality, 6) AS quality, CASE WHEN quality > 0 THEN round(CAST(CAST(laplacian_var AS FLOAT) * CAST(1/800.0::DOUBLE AS FLOAT) AS DOUBLE), 6) ELSE 0.0::DOUBLE END AS first_value
     FROM graded""", "graded"))
 def batch_scoring(v: Views) -> DataFrame:
     """Scored with a stand-in model that returns scaled inputs; users pass their own."""
     crops = v.crops().withColumn("pixels", F.array(F.col("laplacian_var").cast("float"), F.col("mean_saturation").cast("float")))
     out = score_crops(crops, _stand_in_model, "pixels", vector_size=2, input_shape=[2])
-    value = F.round(F.col("embedding")[0].cast("double"), 3)
+    value = r6(F.col("embedding")[0].cast("double"))
     return out.select("camera_id", "frame_number", "track_id", "crop_id", r6("quality").alias("quality"), value.alias("first_value"))
 
 

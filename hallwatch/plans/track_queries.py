@@ -252,7 +252,7 @@ def identity_keys(v: Views) -> DataFrame:
 
 # ---- identity -------------------------------------------------------------------------------
 
-_CONFIRM = """SELECT track_id, arg_min(obs_id, o) AS obs_id, arg_min(candidate, o) AS person_id, min(o) AS at FROM (
+_CONFIRM = """SELECT track_id, arg_min(obs_id, o) AS obs_id, arg_min(candidate, o) AS person_id, min(o) AS hit_at FROM (
     SELECT *, t*1000000 + obs_id AS o, row_number() OVER (PARTITION BY track_id, candidate, island ORDER BY t, obs_id) AS run FROM (
         SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY t, obs_id) - row_number() OVER (PARTITION BY track_id, candidate ORDER BY t, obs_id) AS island
         FROM (SELECT track_id, obs_id, t - 1704067200000 AS t, candidate FROM face_checks WHERE candidate IS NOT NULL))) WHERE run = {n} GROUP BY 1"""
@@ -278,9 +278,9 @@ def best_face(v: Views) -> DataFrame:
 _LINKED = f"""SELECT s.track_id, concat('global_', l.root) AS global_id, s.t_in, CASE WHEN s.track_id % 7 = 0 THEN s.track_id % 10 END AS f, CASE WHEN s.track_id % 5 = 0 THEN s.track_id % 9 END AS r
     FROM spans s JOIN line l USING (track_id)"""
 IDENTITY = f"""{LINEAGE}, own AS (SELECT *, coalesce(f, r) AS o FROM ({_LINKED})),
-    src AS (SELECT global_id, arg_min(o, struct_pack(t := t_in, i := track_id)) AS p, min(struct_pack(t := t_in, i := track_id)) AS at FROM own WHERE o IS NOT NULL GROUP BY 1),
+    src AS (SELECT global_id, arg_min(o, struct_pack(t := t_in, i := track_id)) AS p, min(struct_pack(t := t_in, i := track_id)) AS first_at FROM own WHERE o IS NOT NULL GROUP BY 1),
     who AS (SELECT track_id, global_id, CASE WHEN moved THEN p ELSE o END AS person_id, CASE WHEN moved THEN 'transfer' WHEN f IS NOT NULL THEN 'face' WHEN r IS NOT NULL THEN 'reid' ELSE 'none' END AS method
-        FROM (SELECT own.*, p, coalesce(f IS NULL AND at < struct_pack(t := t_in, i := own.track_id), false) AS moved FROM own LEFT JOIN src USING (global_id)))"""
+        FROM (SELECT own.*, p, coalesce(f IS NULL AND first_at < struct_pack(t := t_in, i := own.track_id), false) AS moved FROM own LEFT JOIN src USING (global_id)))"""
 
 
 def identities(v: Views) -> DataFrame:

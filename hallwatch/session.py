@@ -24,5 +24,5 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     """For tests and the benchmark only."""
     builder = (SparkSession.builder.master(f"local[{cores}]").appName("hallwatch")
                .config("spark.sql.shuffle.partitions", str(partitions)).config("spark.driver.memory", memory)
-               .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC"))
+               .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC"))
     return configure(builder.getOrCreate())
