@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hallwatch.plans import report_queries, scene_queries, track_queries  # noqa: F401  (registration)
+from hallwatch.plans import report_queries, scene_queries, stream_queries, track_queries  # noqa: F401  (registration)
 from hallwatch.plans.registry import QUERIES, Query
 
 
