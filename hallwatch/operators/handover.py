@@ -98,19 +98,19 @@ def reappearance_candidates(lost: DataFrame, entries: DataFrame, p: Params = DEF
     lost: exit_id, site_id, camera_id, exit_ts, vectors (short array of unit vectors), and optionally
     until_us (after which the lost track is gone); entries: entry_id, site_id, camera_id, entry_ts,
     quality, embedding. Only pairs whose median cosine exceeds the threshold leave the task; the
-    rest are compared as matrix blocks. Groups are (site, slot of the look-back length); ``salts``
-    splits the entries of a busy site further.
+    rest are compared as matrix blocks. Groups are (site, time slot), with the lost tracks of the
+    look-back copied over a slot's edge; ``salts`` splits the entries of a busy site further.
     """
-    window = to_micros(p.reappear_sec)
+    window, slot_sec = to_micros(p.reappear_sec), max(p.chunk_sec, p.reappear_sec)
     x = lost.filter(F.size("vectors") > 0).withColumn("exit_us", micros(F.col("exit_ts")))
     no_end = F.lit(2**62).cast("long")
     x = x.withColumn("until_us", F.coalesce("until_us", no_end) if "until_us" in lost.columns else no_end)
-    x = (x.withColumn("_slot", F.explode(F.sequence(slot(F.col("exit_us"), p.reappear_sec), slot(F.col("exit_us") + window, p.reappear_sec))))
+    x = (x.withColumn("_slot", F.explode(F.sequence(slot(F.col("exit_us"), slot_sec), slot(F.col("exit_us") + window, slot_sec))))
          .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
          .select("site_id", "_slot", "_salt", "exit_id", F.col("camera_id").alias("from_camera"), "exit_us", "until_us",
                  F.size("vectors").alias("n_vectors"), F.flatten("vectors").alias("flat")))
     e = (entries.filter((F.col("quality") >= p.min_visibility) & F.col("embedding").isNotNull())
-         .withColumn("entry_us", micros(F.col("entry_ts"))).withColumn("_slot", slot(F.col("entry_us"), p.reappear_sec))
+         .withColumn("entry_us", micros(F.col("entry_ts"))).withColumn("_slot", slot(F.col("entry_us"), slot_sec))
          .withColumn("_salt", F.pmod(F.xxhash64("entry_id"), F.lit(salts)).cast("int"))
          .select("site_id", "_slot", "_salt", "entry_id", F.col("camera_id").alias("to_camera"), "entry_us",
                  vectors.unit(F.col("embedding")).alias("vec")))

@@ -176,7 +176,7 @@ def overlapping_ids(v: Views) -> DataFrame:
 def frame_overlap_summary(v: Views) -> DataFrame:
     """Flagship: per camera and frame, persons left after all detection filters and how many overlap."""
     kept = gates.exclusion_filter(gates.person_filter(v.detections()), v.cameras())
-    return overlap.frame_overlap_summary(kept, "det_id")
+    return overlap.frame_overlap_summary(kept)
 
 
 @query("O23", check=sql("""SELECT camera_id, frame_number, min(det_id) AS det_id FROM persons_seen GROUP BY ALL HAVING count(*) = 1""", "persons_seen"))
