@@ -362,7 +362,7 @@ def stationary_time(v: Views) -> DataFrame:
 def camera_tracker(v: Views) -> DataFrame:
     """Change log of the tracker over all frames; no SQL counterpart, tested against a plain model."""
     log = tracker.track_cameras(*v.walkers())
-    return log.select("camera_id", "session", "frame_number", "track_no", "event", r6("x1").alias("x1"), r6("y1").alias("y1"), "state", *whole("hits"))
+    return log.select("camera_id", "session", "frame_number", *whole("track_no"), "event", r6("x1").alias("x1"), r6("y1").alias("y1"), "state", *whole("hits"))
 
 
 @query("O65", "A11")
