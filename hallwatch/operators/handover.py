@@ -81,7 +81,7 @@ def edge_candidates(exits: DataFrame, entries: DataFrame, edges: DataFrame, p: P
 
 # ---- reappearance ---------------------------------------------------------------------------
 
-_ROWS_AT_ONCE = 256
+_ROWS_AT_ONCE, _CELLS_AT_ONCE = 256, 4_000_000
 
 
 def _padded(sizes: np.ndarray) -> tuple[int, np.ndarray]:
@@ -119,28 +119,37 @@ def reappearance_candidates(lost: DataFrame, entries: DataFrame, p: Params = DEF
         columns = ["site_id", *EDGE_COLUMNS, "score"]
         if left.empty or right.empty:
             return no_rows(columns)
+        left, right = left.sort_values("exit_us", ignore_index=True), right.sort_values("entry_us", ignore_index=True)
+        in_us, out_us = right["entry_us"].to_numpy(), left["exit_us"].to_numpy()
         sizes = left["n_vectors"].to_numpy()
-        width, place = _padded(sizes)
-        known = np.concatenate(left["flat"].to_numpy()).reshape(int(sizes.sum()), -1)
-        out_us, gone = left["exit_us"].to_numpy(), left["until_us"].to_numpy()
-        cams = left["from_camera"].to_numpy()
-        mid_low, mid_high = (sizes - 1) // 2, sizes // 2
-        at = np.arange(len(left))
-        found = []
-        for i in range(0, len(right), _ROWS_AT_ONCE):
-            part = right.iloc[i:i + _ROWS_AT_ONCE]
-            in_us = part["entry_us"].to_numpy()[:, None]
-            near = ((in_us >= out_us) & (in_us - out_us < window) & (in_us <= gone)
-                    & (part["to_camera"].to_numpy()[:, None] != cams))
-            spread = np.full((len(part), len(left) * width), np.inf)
-            spread[:, place] = np.stack(part["vec"].to_numpy()) @ known.T
-            spread = np.sort(spread.reshape(len(part), len(left), width), axis=2)
-            score = (spread[:, at, mid_low] + spread[:, at, mid_high]) / 2.0
+        begin = np.concatenate([[0], np.cumsum(sizes)])
+        known = np.concatenate(left["flat"].to_numpy()).reshape(begin[-1], -1)
+        gone, cams, seen_by = left["until_us"].to_numpy(), left["from_camera"].to_numpy(), right["to_camera"].to_numpy()
+        found, i = [], 0
+        while i < len(right):
+            # only the band of lost tracks that these entries can look back to
+            low = int(np.searchsorted(out_us, in_us[i] - window, side="right"))
+            step = min(_ROWS_AT_ONCE, max(1, _CELLS_AT_ONCE // max(1, int(sizes[low:].sum()))))
+            rows = slice(i, min(i + step, len(right)))
+            i = rows.stop
+            band = slice(low, int(np.searchsorted(out_us, in_us[i - 1], side="right")))
+            if band.start >= band.stop:
+                continue
+            t, x, some = in_us[rows][:, None], out_us[band], sizes[band]
+            near = (t >= x) & (t - x < window) & (t <= gone[band]) & (seen_by[rows][:, None] != cams[band])
+            width, place = _padded(some)
+            spread = np.full((len(t), len(x) * width), np.inf)
+            spread[:, place] = np.stack(right["vec"].to_numpy()[rows]) @ known[begin[band.start]:begin[band.stop]].T
+            spread = np.sort(spread.reshape(len(t), len(x), width), axis=2)
+            at = np.arange(len(x))
+            score = (spread[:, at, (some - 1) // 2] + spread[:, at, some // 2]) / 2.0
             r, c = np.nonzero(near & (score > p.reid_similarity))
-            found.append(pd.DataFrame({
-                "site_id": key[0], "entry_id": part["entry_id"].to_numpy()[r], "exit_id": left["exit_id"].to_numpy()[c],
-                "from_camera": cams[c], "to_camera": part["to_camera"].to_numpy()[r],
-                "exit_us": out_us[c], "entry_us": part["entry_us"].to_numpy()[r], "score": score[r, c]}))
+            if len(r):
+                found.append(pd.DataFrame({
+                    "site_id": key[0], "entry_id": right["entry_id"].to_numpy()[rows][r], "exit_id": left["exit_id"].to_numpy()[band][c],
+                    "from_camera": cams[band][c], "to_camera": seen_by[rows][r], "exit_us": x[c], "entry_us": in_us[rows][r], "score": score[r, c]}))
+        if not found:
+            return no_rows(columns)
         return plain_strings(pd.concat(found)[columns])
 
     t = {"site_id": lost.schema["site_id"].dataType.simpleString(),

@@ -110,10 +110,9 @@ def live_identity_state(identities: DataFrame, now: dt.datetime, p: Params = DEF
     return identities.filter(F.col("first_seen") >= before(now, dt.timedelta(seconds=p.identity_max_age_sec)))
 
 
-def _occupancy(tracks: DataFrame, persons: DataFrame) -> DataFrame:
-    """Active tracks folded by person before any list is built: as many rows as known persons."""
-    per_person = tracks.groupBy("person_id").agg(F.count(F.lit(1)).alias("n"))
-    return with_person_name(per_person, persons)
+def _per_person(tracks: DataFrame, persons: DataFrame, by: list[str]) -> DataFrame:
+    """Active tracks folded by person before names are joined or listed."""
+    return with_person_name(tracks.groupBy(*by, "person_id").agg(F.count(F.lit(1)).alias("n")), persons)
 
 
 def _total(condition: Column | None = None) -> Column:
@@ -121,22 +120,24 @@ def _total(condition: Column | None = None) -> Column:
     return F.coalesce(F.sum(n), F.lit(0))
 
 
-def occupancy(active: DataFrame, persons: DataFrame) -> DataFrame:
-    """Is anyone home, who, how many unknown; an id without person row counts as neither."""
-    return _occupancy(active, persons).agg(
+def occupancy(active: DataFrame, persons: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Is anyone home, who, how many unknown; an id without person row counts as neither.
+
+    With many homes in one table ``by`` names the home columns, and each list is one household.
+    """
+    return _per_person(active, persons, by or []).groupBy(*(by or [])).agg(
         (_total() > 0).alias("home"), F.array_sort(F.collect_set("person_name")).alias("persons"),
         _total(F.col("person_id").isNull()).alias("unknown_count"), _total().alias("total_tracks"))
 
 
-def occupancy_report(active: DataFrame, persons: DataFrame) -> DataFrame:
-    """As printed: one name per identified track, so names repeat.
-
-    One row per name with its count; ``names`` repeats each name that often.
-    """
-    named = F.col("person_name").isNotNull()
-    repeated = F.flatten(F.array_sort(F.collect_list(F.when(named, F.expr("array_repeat(person_name, cast(n as int))")))))
-    return _occupancy(active, persons).agg(
-        _total().alias("active_tracks"), repeated.alias("names"), _total(F.col("person_id").isNull()).alias("unknown"))
+def occupancy_report(active: DataFrame, persons: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """As printed. Names repeat once per identified track there; here each name is a row with
+    its ``times``, next to the totals. Nobody identified gives one row without a name."""
+    key = by or []
+    folded = _per_person(active, persons, key).withColumn("_k", F.lit(1))
+    totals = folded.groupBy("_k", *key).agg(_total().alias("active_tracks"), _total(F.col("person_id").isNull()).alias("unknown"))
+    names = folded.filter("person_name is not null").groupBy("_k", *key, "person_name").agg(F.sum("n").alias("times"))
+    return totals.join(names, ["_k", *key], "left").drop("_k")
 
 
 def sightings(log: DataFrame, p: Params = DEFAULTS) -> DataFrame:

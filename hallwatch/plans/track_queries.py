@@ -139,10 +139,18 @@ def mean_embedding(v: Views) -> DataFrame:
     return m.select("person_id", F.posexplode("mean_embedding").alias("pos", "m")).select("person_id", *whole("pos"), r6("m").alias("mean_value"))
 
 
-@query("A08", check=sql("SELECT count(DISTINCT user_id) AS persons, string_agg(DISTINCT concat('p_', user_id), ',' ORDER BY concat('p_', user_id)) AS names FROM events"))
-def gallery_overview(v: Views) -> DataFrame:
-    g = v.table("events").select(F.concat(F.lit("p_"), F.col("user_id").cast("string")).alias("person_name"))
-    return similarity.gallery_overview(g).select("persons", F.array_join("names", ",").alias("names"))
+def _named(v: Views) -> DataFrame:
+    return v.table("events").select(F.concat(F.lit("p_"), F.col("user_id").cast("string")).alias("person_name"))
+
+
+@query("A08", check=sql("SELECT count(DISTINCT user_id) AS persons FROM events"))
+def gallery_size(v: Views) -> DataFrame:
+    return similarity.gallery_size(_named(v))
+
+
+@query("A08", check=sql("SELECT DISTINCT concat('p_', user_id) AS person_name FROM events"))
+def gallery_names(v: Views) -> DataFrame:
+    return similarity.gallery_names(_named(v))
 
 
 # ---- handover -------------------------------------------------------------------------------
@@ -274,9 +282,9 @@ def best_face(v: Views) -> DataFrame:
     return identity.best_face(v.faces(), ["camera_id", "frame_number", "track_id"]).select("camera_id", "frame_number", "track_id", "face_id")
 
 
-# faces confirmed on every 7th track, appearance matches on every 5th
-_LINKED = f"""SELECT s.track_id, concat('global_', l.root) AS global_id, s.t_in, CASE WHEN s.track_id % 7 = 0 THEN s.track_id % 10 END AS f, CASE WHEN s.track_id % 5 = 0 THEN s.track_id % 9 END AS r
-    FROM spans s JOIN line l USING (track_id)"""
+# every track has a face score and an appearance score; those over the thresholds count
+_LINKED = f"""SELECT s.track_id, concat('global_', l.root) AS global_id, s.t_in, CASE WHEN (s.track_id*37 % 100)/100.0::DOUBLE > 0.8::DOUBLE THEN s.track_id % 10 END AS f,
+    CASE WHEN (s.track_id*53 % 100)/100.0::DOUBLE > 0.65::DOUBLE THEN s.track_id % 9 END AS r FROM spans s JOIN line l USING (track_id)"""
 IDENTITY = f"""{LINEAGE}, own AS (SELECT *, coalesce(f, r) AS o FROM ({_LINKED})),
     src AS (SELECT global_id, arg_min(o, struct_pack(t := t_in, i := track_id)) AS p, min(struct_pack(t := t_in, i := track_id)) AS first_at FROM own WHERE o IS NOT NULL GROUP BY 1),
     who AS (SELECT track_id, global_id, CASE WHEN moved THEN p ELSE o END AS person_id, CASE WHEN moved THEN 'transfer' WHEN f IS NOT NULL THEN 'face' WHEN r IS NOT NULL THEN 'reid' ELSE 'none' END AS method
@@ -286,8 +294,8 @@ IDENTITY = f"""{LINEAGE}, own AS (SELECT *, coalesce(f, r) AS o FROM ({_LINKED})
 def identities(v: Views) -> DataFrame:
     parts = span_parts(v)
     t = F.col("track_id")
-    face = parts.filter(t % 7 == 0).select("track_id", (t % 10).alias("person_id"), F.lit(0.8).alias("score"))
-    reid = parts.filter(t % 5 == 0).select("track_id", (t % 9).alias("person_id"), F.lit(0.7).alias("score"))
+    face = parts.select("track_id", (t % 10).alias("person_id"), (t * 37 % 100 / 100.0).alias("score")).filter("score > 0.8")
+    reid = parts.select("track_id", (t % 9).alias("person_id"), (t * 53 % 100 / 100.0).alias("score")).filter(F.col("score") > DEFAULTS.reid_similarity)
     return identity.link_identities(parts, face, reid, identity.global_lineage(parts, global_links(v)))
 
 

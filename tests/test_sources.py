@@ -57,15 +57,22 @@ def test_frame_table_keeps_its_schema(spark, folder):
 
 
 def test_event_store_and_retention(spark, folder):
-    rows = ts(spark.createDataFrame([("a", i, int(dt.datetime(2024, 1, 1 + i, tzinfo=dt.timezone.utc).timestamp() * 1000)) for i in range(10)], "camera_id string, event_id long, ms long"))
+    rows = ts(spark.createDataFrame([("a", 2 * i + h, int(dt.datetime(2024, 1, 1 + i, 18 * h, tzinfo=dt.timezone.utc).timestamp() * 1000)) for i in range(10) for h in (0, 1)],
+                                    "camera_id string, event_id long, ms long"))
     stores.append_events(stores.as_events(rows, "track_created"), f"{folder}/e")
     stored = spark.read.parquet(f"{folder}/e")
-    now = dt.datetime(2024, 2, 4, 12)
-    stores.rewrite_retained(stored, f"{folder}/kept", now)
-    assert {r.event_id for r in spark.read.parquet(f"{folder}/kept").collect()} == set(range(5, 10))
     recent = stored.filter(F.col("day") >= F.lit(dt.date(2024, 1, 8)))
     assert "PartitionFilters: [isnotnull(day" in recent._jdf.queryExecution().toString()
 
+    name = "house_" + folder.rsplit("-", 1)[1].lower()
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{folder}/db'")
+    stored.write.partitionBy("day").saveAsTable(f"{name}.events")
+    stores.expire_events(spark, f"{name}.events", dt.datetime(2024, 2, 4, 12))  # limit: noon of January 5
+    left = spark.table(f"{name}.events")
+    assert {r.event_id for r in left.collect()} == set(range(9, 20))
+    assert left.select("day").distinct().count() == 6
+    spark.sql(f"DROP DATABASE {name} CASCADE")
+
 
 def test_enrolment(spark, folder):
     faces = spark.createDataFrame([(1, [1.0], "a.jpg", None), (1, None, "b.jpg", None), (2, [2.0], "c.jpg", None)], "person_id long, embedding array<float>, source_image string, created_at timestamp")
