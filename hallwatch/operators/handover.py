@@ -107,12 +107,12 @@ def reappearance_candidates(lost: DataFrame, entries: DataFrame, p: Params = DEF
     x = x.withColumn("until_us", F.coalesce("until_us", no_end) if "until_us" in lost.columns else no_end)
     x = (x.withColumn("_slot", F.explode(F.sequence(slot(F.col("exit_us"), slot_sec), slot(F.col("exit_us") + window, slot_sec))))
          .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-         .select("site_id", "_slot", "_salt", "exit_id", F.col("camera_id").alias("from_camera"), "exit_us", "until_us",
+         .select(F.col("site_id").alias("_site"), "_slot", "_salt", "exit_id", F.col("camera_id").alias("from_camera"), "exit_us", "until_us",
                  F.size("vectors").alias("n_vectors"), F.flatten("vectors").alias("flat")))
     e = (entries.filter((F.col("quality") >= p.min_visibility) & F.col("embedding").isNotNull())
          .withColumn("entry_us", micros(F.col("entry_ts"))).withColumn("_slot", slot(F.col("entry_us"), slot_sec))
          .withColumn("_salt", F.pmod(F.xxhash64("entry_id"), F.lit(salts)).cast("int"))
-         .select("site_id", "_slot", "_salt", "entry_id", F.col("camera_id").alias("to_camera"), "entry_us",
+         .select(F.col("site_id").alias("_site"), "_slot", "_salt", "entry_id", F.col("camera_id").alias("to_camera"), "entry_us",
                  vectors.unit(F.col("embedding")).alias("vec")))
 
     def compare(key: tuple[Any, ...], left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -157,7 +157,7 @@ def reappearance_candidates(lost: DataFrame, entries: DataFrame, p: Params = DEF
          "exit_id": lost.schema["exit_id"].dataType.simpleString()}
     ddl = (f"site_id {t['site_id']}, entry_id {t['entry_id']}, exit_id {t['exit_id']}, from_camera string, to_camera string, "
            "exit_us bigint, entry_us bigint, score double")
-    keys = ["site_id", "_slot", "_salt"]
+    keys = ["_site", "_slot", "_salt"]
     return x.groupBy(*keys).cogroup(e.groupBy(*keys)).applyInPandas(compare, ddl)
 
 

@@ -342,6 +342,15 @@ def cameras_seen(v: Views) -> DataFrame:
     return identity.cameras_seen(obs).select("track_id", F.array_join("cameras_seen", ">").alias("cameras"))
 
 
+@query("O24", "O38", "O55", "O66", "O67", "O68", "O70")
+def observed_identities(v: Views) -> DataFrame:
+    """Frames to identities in one go; no SQL counterpart, tested on a scene with a known story."""
+    from hallwatch.plans.household import observe
+    from hallwatch.plans.views import walker_scene
+
+    return observe(**walker_scene(v)).identities.select("track_id", "global_id", "person_id", "method")
+
+
 # ---- tracked observations -------------------------------------------------------------------
 
 @query("O48", check=sql("""SELECT camera_id, track_id, frame_number, hits, hits >= 3 AS is_confirmed FROM (

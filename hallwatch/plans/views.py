@@ -224,6 +224,21 @@ class Views:
         return f, d
 
 
+def walker_scene(v: Views) -> dict[str, DataFrame]:
+    """Inputs of the whole composition: walkers with crops and faces whose vectors are the enrolled
+    ones of their number, so that each walker has a true identity."""
+    _, d = v.walkers()
+    d = d.withColumn("class_id", F.lit(0))
+    known = v.vectors().withColumnRenamed("vec_id", "_who")
+    shown = d.withColumn("_who", F.col("det_id")).join(known, "_who").drop("_who", "confidence", "class_id")
+    crops = shown.select("camera_id", "frame_number", "det_id", "embedding", F.lit(160).alias("width"), F.lit(320).alias("height"),
+                         F.lit(60.0).alias("mean_saturation"), F.lit(600.0).alias("laplacian_var"))
+    faces = shown.select("camera_id", "frame_number", "det_id", "embedding", F.lit(0).alias("face_id"), F.lit(0.9).alias("confidence"),
+                         (F.col("x1") - 5).alias("x1"), F.col("y1"), (F.col("x1") + 80).alias("x2"), (F.col("y1") + 85).alias("y2"))
+    return dict(frames=v.frames().drop("active"), detections=d, crops=crops, faces=faces, cameras=v.cameras(), zones=v.zones(),
+                persons=v.persons(), embeddings=v.face_embeddings())
+
+
 def camera(number: Column) -> Column:
     return F.concat(F.lit("cam_"), number.cast("string"))
 
