@@ -37,10 +37,11 @@ def query_events(events: DataFrame, camera_id: str | None = None, person_id: int
 def person_profile(persons: DataFrame, embeddings: DataFrame, events: DataFrame, person_id: int,
                    p: Params = DEFAULTS) -> DataFrame:
     """One person with number of enrolled faces and the latest events (one row per event)."""
-    who = persons.filter(F.col("person_id") == person_id)
-    faces = embeddings.filter(F.col("person_id") == person_id).agg(F.count("emb_id").alias("faces")).withColumn("person_id", F.lit(person_id).cast("long"))
-    latest = query_events(events, person_id=person_id, limit=p.profile_events).select("person_id", "event_id", "ts", "event_type", "camera_id")
-    return who.join(faces, "person_id", "left").join(latest, "person_id", "left")
+    faces = embeddings.filter(F.col("person_id") == person_id).select(F.count("emb_id"))
+    latest = query_events(events, person_id=person_id, limit=p.profile_events)
+    listed = latest.select(F.collect_list(F.struct("event_id", "ts", "event_type", "camera_id")))  # at most ten
+    return (persons.filter(F.col("person_id") == person_id)
+            .select("*", faces.scalar().alias("faces"), F.explode_outer(listed.scalar()).alias("_e")).select("*", "_e.*").drop("_e"))
 
 
 def apply_retention(events: DataFrame, now: dt.datetime, p: Params = DEFAULTS) -> DataFrame:
@@ -55,12 +56,10 @@ def event_totals(events: DataFrame) -> DataFrame:
 
 def session_status(tracks: DataFrame, pending: DataFrame, events: DataFrame) -> DataFrame:
     """Tracks, identified and unknown ones, handovers still pending and handovers done."""
-    t = tracks.agg(F.count(F.lit(1)).alias("tracks"), F.count("person_id").alias("identified"))
-    w = pending.agg(F.count(F.lit(1)).alias("pending"))
-    h = events.agg(F.count_if(F.col("event_type") == "track_handover").alias("handovers"))
-    one = F.lit(1).alias("_k")
-    return (t.select("*", one).join(w.select("*", one), "_k").join(h.select("*", one), "_k").drop("_k")
-            .withColumn("unknown", F.col("tracks") - F.col("identified")))
+    handovers = events.filter("event_type = 'track_handover'").select(F.count(F.lit(1)))
+    return (tracks.agg(F.count(F.lit(1)).alias("tracks"), F.count("person_id").alias("identified"))
+            .select("tracks", "identified", (F.col("tracks") - F.col("identified")).alias("unknown"),
+                    pending.select(F.count(F.lit(1))).scalar().alias("pending"), handovers.scalar().alias("handovers")))
 
 
 # ---- tracks ---------------------------------------------------------------------------------
@@ -131,13 +130,13 @@ def occupancy(active: DataFrame, persons: DataFrame, by: list[str] | None = None
 
 
 def occupancy_report(active: DataFrame, persons: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """As printed. Names repeat once per identified track there; here each name is a row with
-    its ``times``, next to the totals. Nobody identified gives one row without a name."""
-    key = by or []
-    folded = _per_person(active, persons, key).withColumn("_k", F.lit(1))
-    totals = folded.groupBy("_k", *key).agg(_total().alias("active_tracks"), _total(F.col("person_id").isNull()).alias("unknown"))
-    names = folded.filter("person_name is not null").groupBy("_k", *key, "person_name").agg(F.sum("n").alias("times"))
-    return totals.join(names, ["_k", *key], "left").drop("_k")
+    """The printed report as rows: ``active`` and ``unknown`` tracks, and each identified name
+    with how often it would be printed. An id without person row is active only."""
+    kind = F.when(F.col("person_id").isNull(), "unknown").when(F.col("person_name").isNotNull(), "identified")
+    lines = F.array(F.struct(F.lit("active").alias("line"), F.lit(None).cast("string").alias("person_name")),
+                    F.struct(kind.alias("line"), F.col("person_name").alias("person_name")))
+    folded = _per_person(active, persons, by or []).select(*(by or []), "n", F.explode(lines).alias("l"))
+    return (folded.filter("l.line is not null").groupBy(*(by or []), "l.line", "l.person_name").agg(F.sum("n").alias("tracks")))
 
 
 def sightings(log: DataFrame, p: Params = DEFAULTS) -> DataFrame:

@@ -74,11 +74,11 @@ def occupancy(v: Views) -> DataFrame:
 
 
 @query("A02", check=sql("""WITH act AS (SELECT t.person_id, name FROM stored_tracks t LEFT JOIN persons p ON p.person_id = t.person_id WHERE status = 'active')
-    SELECT a.active_tracks, n.name AS person_name, n.times, a.unknown FROM (SELECT count(*) AS active_tracks, count(*) FILTER (WHERE person_id IS NULL) AS unknown FROM act) a
-    LEFT JOIN (SELECT name, count(*) AS times FROM act WHERE name IS NOT NULL GROUP BY 1) n ON true""", "stored_tracks", "persons"))
+    SELECT 'active' AS line, NULL::VARCHAR AS person_name, count(*) AS tracks FROM act UNION ALL SELECT 'unknown', NULL, count(*) FROM act WHERE person_id IS NULL HAVING count(*) > 0
+    UNION ALL SELECT 'identified', name, count(*) FROM act WHERE name IS NOT NULL GROUP BY name""", "stored_tracks", "persons"))
 def occupancy_report(v: Views) -> DataFrame:
     active = v.stored_tracks().filter("status = 'active'")
-    return reports.occupancy_report(active, v.persons()).select("active_tracks", "person_name", "times", "unknown")
+    return reports.occupancy_report(active, v.persons())
 
 
 @query("O58", check=sql(f"""SELECT track_id, t.person_id, name AS person_name, last_camera_id, status, t_last AS last_seen_ms FROM stored_tracks t LEFT JOIN persons p ON p.person_id = t.person_id
@@ -189,11 +189,11 @@ def faces_per_person(v: Views) -> DataFrame:
     return reports.faces_per_person(v.persons(), v.face_embeddings()).select("person_id", "name", "faces")
 
 
-_GONE = "SELECT DISTINCT user_id % 10 AS person_id FROM events WHERE event_type = 'error' AND value > 220"
+_GONE = "SELECT DISTINCT user_id % 10 AS person_id FROM events WHERE event_type = 'error' AND value > 300"
 
 
 def _after_deletion(v: Views) -> DataFrame:
-    gone = v.table("events").filter("event_type = 'error' and value > 220").select((F.col("user_id") % 10).alias("person_id"))
+    gone = v.table("events").filter("event_type = 'error' and value > 300").select((F.col("user_id") % 10).alias("person_id"))
     return reports.apply_deletions(v.persons(), gone)
 
 
