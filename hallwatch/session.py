@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
-from pathlib import Path
-
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -18,23 +14,9 @@ SETTINGS = {
 }
 
 
-_shipped: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Give the Python workers of every executor this package, once per application."""
-    sc = spark.sparkContext
-    if sc.applicationId not in _shipped:
-        package = Path(__file__).resolve().parent
-        target = Path(tempfile.mkdtemp(prefix="spark-")) / package.name
-        sc.addPyFile(shutil.make_archive(str(target), "zip", root_dir=package.parent, base_dir=package.name))
-        _shipped.add(sc.applicationId)
-
-
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
-    ship_package(spark)
     return spark
 
 
