@@ -33,5 +33,9 @@ def to_micros(seconds: float) -> int:
 
 
 def slot(us: Column, length_sec: float) -> Column:
-    """Index of the time slot of ``length_sec`` that holds a microsecond stamp."""
-    return F.floor(us / F.lit(to_micros(length_sec))).cast("long")
+    """Index of the time slot of ``length_sec`` that holds a microsecond stamp.
+
+    The remainder is taken off first, so the division is exact, also for negative stamps.
+    """
+    length = F.lit(to_micros(length_sec)).cast("long")
+    return ((us - F.pmod(us, length)) / length).cast("long")
