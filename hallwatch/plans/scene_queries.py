@@ -94,7 +94,7 @@ def box_scalars(v: Views) -> DataFrame:
 def box_normalise(v: Views) -> DataFrame:
     n = boxes.normalise(box(), F.col("frame_w"), F.col("frame_h"))
     px = boxes.denormalise(n, F.lit(640), F.lit(333))
-    return v.detections().select(*DET, F.round(n.x1, 9).alias("nx1"), F.round(n.y2, 9).alias("ny2"), px.x1.cast("long").alias("px1"), px.y2.cast("long").alias("py2"))
+    return v.detections().select(*DET, r6(n.x1, 9).alias("nx1"), r6(n.y2, 9).alias("ny2"), px.x1.cast("long").alias("px1"), px.y2.cast("long").alias("py2"))
 
 
 @query("O13", check=sql("""SELECT * FROM (SELECT camera_id, frame_number, det_id,
