@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from hallwatch.llm import substring_dedup
+from hallwatch.llm import ngram_join, substring_dedup
 
 QUERIES = {
+    "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
 }
 
