@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from hallwatch.llm import ngram_join, substring_dedup
+from hallwatch.llm import chat_examples, ngram_join, rotation_codes, substring_dedup
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
+    "op9_chat_formatting": chat_examples.op9_chat_formatting,
+    "op10_embedding_near_dedup": rotation_codes.op10_embedding_near_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op9_chat_formatting": chat_examples.OP9_SQL,
+}
