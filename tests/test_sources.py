@@ -117,4 +117,4 @@ def test_a_cluster_must_name_its_checkpoint_folder():
                 return default
 
     with pytest.raises(ValueError):
-        state_tables.ensure_checkpoint_dir(Session())
+        state_tables.shared_folder(Session())
