@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from hallwatch.operators.state_tables import settle
+from hallwatch.operators.state_tables import discard, settle
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -29,9 +29,11 @@ def components(edges: DataFrame) -> DataFrame:
             labels = hop
         else:
             moved = hop.select(F.col("node").alias("root"), F.col("root").alias("moved"))
-            labels = settle(labels.join(moved, "root", "left").select("node", F.coalesce("moved", "root").alias("root")))
+            before, labels = labels, settle(labels.join(moved, "root", "left").select("node", F.coalesce("moved", "root").alias("root")))
+            discard(before)
         left, right = hop.withColumnsRenamed({"node": "a", "root": "x"}), hop.withColumnsRenamed({"node": "b", "root": "y"})
-        live = simple(live.join(left, "a").join(right, "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
+        before, live = live, simple(live.join(left, "a").join(right, "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
+        discard(before, *[hop] * (labels is not hop))
         turn += 1
     if labels is None:
         labels = live.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from hallwatch.llm import batches as B, words as W
 from hallwatch.llm.components import components
-from hallwatch.operators.state_tables import settle
+from hallwatch.operators.state_tables import discard, settle
 
 N, PERCENT = 5, 75
 BLOCK_SETS, BLOCK_BYTES = 1024, 8 << 20
@@ -355,6 +355,7 @@ def set_links(docs: DataFrame, n: int = N, percent: int = PERCENT, text: str = "
 
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum(F.octet_length("grams")) / BLOCK_BYTES)).cast("long")
     per_grove = members.groupBy("grove").agg(blocks.alias("blocks"))
+    discard(sets)
     members = members.join(per_grove, "grove").withColumn("block", F.pmod(F.xxhash64("lowest"), F.col("blocks")))
     per_block = members.groupBy("grove", "block").agg(blocks.alias("parts")).where("parts > 1")  # many sets with one lowest n-gram
     members = settle(members.join(per_block, ["grove", "block"], "left").withColumn("part", F.pmod(F.xxhash64("set_key"), F.coalesce("parts", F.lit(1).cast("long"))))
