@@ -76,6 +76,7 @@ class Codec:
         for s, i in self.by_symbols.items():
             self.automaton.add_word(s, i)
         self.automaton.make_automaton()
+        assert all(self.ids[a + b] < self.ids[c + d] for (a, b), (c, d) in zip(merges, merges[1:])), "ids must follow the merge order"
         self.made = {(self.ids[a], self.ids[b]): self.ids[a + b] for a, b in merges}
         self.shorter = [-1] * self.size  # longest proper prefix that is a token
         for s, i in self.by_symbols.items():
@@ -114,36 +115,45 @@ class Codec:
         return fits
 
     def encode_symbols(self, s: str) -> list[int]:
-        """Backtracking over longest matches."""
-        fits, out = self.fits, [token for _, token in self.automaton.iter_long(s)]
-        if all([fits[p] if p in fits else self.compatible(*p) for p in zip(out, out[1:])]):
-            return out  # the longest match at every place, no step back
-        longest: dict[int, int] = {}
-        for end, token in self.automaton.iter(s):
-            start = end + 1 - self.lengths[token]
-            if start not in longest or self.lengths[longest[start]] < self.lengths[token]:
-                longest[start] = token
-        dead, out, at = set(), [], 0
-        token = longest[0]
+        """Longest matches from the left; where one does not fit its neighbour, backtracking from there."""
+        fits, compatible, lengths, shorter = self.fits, self.compatible, self.lengths, self.shorter
+        matches = self.automaton.iter_long(s)
+        _, token = next(matches)
+        out, at = [token], lengths[token]
+        for _, token in matches:
+            fit = fits.get((out[-1], token))
+            if fit is None:
+                fit = compatible(out[-1], token)
+            if not fit:
+                break
+            out.append(token)
+            at += lengths[token]
+        else:
+            return out
+        dead, token = set(), shorter[token]
         while True:
-            chosen = -1
             while token >= 0:
-                after = at + self.lengths[token]
-                if after not in dead and (not out or self.compatible(out[-1], token)):
-                    chosen = token
-                    break
-                token = self.shorter[token]
-            if chosen >= 0:
-                out.append(chosen)
+                after = at + lengths[token]
+                if after not in dead:
+                    if not out:
+                        break
+                    fit = fits.get((out[-1], token))
+                    if fit is None:
+                        fit = compatible(out[-1], token)
+                    if fit:
+                        break
+                token = shorter[token]
+            if token >= 0:
+                out.append(token)
                 at = after
                 if at == len(s):
                     return out
-                token = longest[at]
+                token = next(self.automaton.iter_long(s, at))[1]
             else:
                 dead.add(at)
                 token = out.pop()
-                at -= self.lengths[token]
-                token = self.shorter[token]
+                at -= lengths[token]
+                token = shorter[token]
 
     def _piece(self, piece: str) -> tuple[bytes, str]:
         have = self.known.get(piece)
