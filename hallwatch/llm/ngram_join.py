@@ -340,11 +340,11 @@ def _wide_links(wide: DataFrame, inner: DataFrame, percent: int) -> DataFrame:
     return star.unionByName(crossed)
 
 
-def set_links(docs: DataFrame, n: int = N, percent: int = PERCENT, text: str = "text") -> DataFrame:
+def set_links(docs: DataFrame, n: int = N, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``a, b``: pairs of set keys in one component, enough of them to connect it."""
-    rows = docs.select(F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull())
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull())
     parts = B.batch_count(rows)
-    by_batch = B.with_batch(rows, parts, F.xxhash64("text")).groupBy("batch")
+    by_batch = B.with_batch(rows, parts, F.struct("doc_id", F.length("text"))).groupBy("batch")
     counts = (by_batch.applyInArrow(_send(n, parts), "batch int, bucket int, keys binary, times binary")
               .groupBy("bucket").applyInArrow(_count, "batch int, bucket int, times binary"))
     sets = settle(by_batch.cogroup(counts.groupBy("batch")).applyInArrow(_candidates(n, percent, parts), "set_key long, size long, prefix array<bigint>, lowest long, grams binary"))
@@ -372,7 +372,7 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, doc_id:
     """``doc_id, n_shingles, component_id, set_key`` per row; ``component_id`` is the smallest id reachable by links."""
     B.prepare(docs.sparkSession)
     rows = settle(set_classes(docs, n, doc_id, text))
-    links = components(set_links(docs, n, percent, text)).withColumnsRenamed({"node": "set_key"})
+    links = components(set_links(docs, n, percent, doc_id, text)).withColumnsRenamed({"node": "set_key"})
     classes = rows.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("least")).join(links, "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     named = classes.join(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("set_key", "component_id")
     return rows.join(named, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "set_key")
