@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from hallwatch.llm import bpe, chat_examples, language_id, ngram_join, quality_rules, rotation_codes, substring_dedup
+from hallwatch.llm import bpe, chat_examples, language_id, license_scan, ngram_join, quality_rules, rotation_codes, substring_dedup
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_language_id": language_id.op3_language_id,
     "op5_bpe_encoding": bpe.op5_bpe_encoding,
+    "op6_license_scan": license_scan.op6_license_scan,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op9_chat_formatting": chat_examples.op9_chat_formatting,
     "op10_embedding_near_dedup": rotation_codes.op10_embedding_near_dedup,
