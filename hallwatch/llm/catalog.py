@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hallwatch.llm import bpe, chat_examples, language_id, license_scan, ngram_join, quality_rules, rotation_codes, substring_dedup
+from hallwatch.llm import bpe, chat_examples, language_id, license_scan, ngram_join, quality_rules, rotation_codes, substring_dedup, suffix_tree_lm
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
@@ -11,10 +11,12 @@ QUERIES = {
     "op5_bpe_encoding": bpe.op5_bpe_encoding,
     "op6_license_scan": license_scan.op6_license_scan,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
+    "op8_lm_scoring": suffix_tree_lm.op8_lm_scoring,
     "op9_chat_formatting": chat_examples.op9_chat_formatting,
     "op10_embedding_near_dedup": rotation_codes.op10_embedding_near_dedup,
 }
 
 SQL = {
+    "op8_lm_scoring": suffix_tree_lm.op8_lm_scoring,
     "op9_chat_formatting": chat_examples.OP9_SQL,
 }
