@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from hallwatch.llm import bpe, chat_examples, language_id, license_scan, ngram_join, quality_rules, rotation_codes, substring_dedup, suffix_tree_lm
+from hallwatch.llm import best_fit_packing, bpe, chat_examples, language_id, license_scan, ngram_join, quality_rules, rotation_codes, substring_dedup, suffix_tree_lm
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_language_id": language_id.op3_language_id,
+    "op4_best_fit_packing": best_fit_packing.op4_best_fit_packing,
     "op5_bpe_encoding": bpe.op5_bpe_encoding,
     "op6_license_scan": license_scan.op6_license_scan,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,

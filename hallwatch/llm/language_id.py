@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hallwatch.llm import batches as B, words as W
 from hallwatch.operators.state_tables import discard, settle
@@ -116,38 +116,47 @@ def learn(labelled: DataFrame) -> Filter:
     return out
 
 
+def _judge(own: Filter, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the language, score) of each text; the number after the last language is ``und``."""
+    data, offsets = W.text_bytes(column)
+    pick, score = [np.zeros(0, int)], [np.zeros(0)]
+    for i, j in W.chunks(offsets):
+        piece, cuts = data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
+        counts = own.count(*grams(piece, cuts), j - i)
+        letters = np.r_[0, np.cumsum((_LETTERS[piece] != 32) & (piece < 128))]
+        lettered = letters[cuts[1:]] - letters[cuts[:-1]] > 0
+        for k in np.flatnonzero(~lettered):
+            lettered[k] = any(c.isalpha() for c in piece[cuts[k]:cuts[k + 1]].tobytes().decode("utf-8", "replace"))
+        if not own.languages:
+            pick.append(np.zeros(j - i, int))
+            score.append(np.zeros(j - i))
+            continue
+        total = counts.sum(1)
+        best = np.where(total > 0, counts.argmax(1), own.languages.index(own.usual))
+        pick.append(np.where(lettered, best, len(own.languages)))
+        score.append(np.where(lettered & (total > 0), counts.max(1) / np.where(total > 0, total, 1), 0.0))
+    return np.concatenate(pick), np.concatenate(score)
+
+
+def language(model: Filter, text: Column) -> Column:
+    """``struct<lang_pred, score>`` of a text column."""
+    shared = SparkSession.active().sparkContext.broadcast(model)  # languages / LEAST grams at most
+
+    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    def judged(column: pa.Array) -> pa.Array:
+        at, score = _judge(shared.value, column)
+        names = np.array([*shared.value.languages, UNKNOWN], object)
+        return pa.StructArray.from_arrays([pa.array(names[at], pa.string()), pa.array(score)], names=["lang_pred", "score"])
+    return judged(text)
+
+
 def identify(docs: DataFrame, model: Filter, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, lang_pred, score`` of every row."""
     B.prepare(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # languages / LEAST grams at most
-    names = np.array([*model.languages, UNKNOWN], object)
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        for part in parts:
-            data, offsets = W.text_bytes(part.column(1))
-            pick, score = [], []
-            for i, j in W.chunks(offsets):
-                piece, cuts = data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
-                counts = own.count(*grams(piece, cuts), j - i)
-                letters = np.r_[0, np.cumsum((_LETTERS[piece] != 32) & (piece < 128))]
-                plain = letters[cuts[1:]] - letters[cuts[:-1]] > 0
-                for k in np.flatnonzero(~plain):
-                    plain[k] = any(c.isalpha() for c in piece[cuts[k]:cuts[k + 1]].tobytes().decode("utf-8", "replace"))
-                if not own.languages:
-                    pick.append(np.full(j - i, len(names) - 1))
-                    score.append(np.zeros(j - i))
-                    continue
-                total = counts.sum(1)
-                best = np.where(total > 0, counts.argmax(1), own.languages.index(own.usual))
-                pick.append(np.where(plain, best, len(names) - 1))
-                score.append(np.where(plain & (total > 0), counts.max(1) / np.where(total > 0, total, 1), 0.0))
-            at = np.concatenate(pick) if pick else np.zeros(0, int)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names[at], pa.string()), pa.array(np.concatenate(score) if score else np.zeros(0))], names=["doc_id", "lang_pred", "score"])
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, lang_pred string, score double")
-
-
-def held_out():
+    return docs.select(F.col(doc_id).alias("doc_id"), language(model, F.col(text).cast("string")).alias("x")).select("doc_id", "x.lang_pred", "x.score")
+
+
+def held_out() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
 
 

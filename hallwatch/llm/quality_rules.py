@@ -20,12 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hallwatch.llm import batches as B, words as W
 from hallwatch.operators.state_tables import settle
 
 COMMON = 1 / 250
+LEAST_WORDS, REPEATED = 50, 50  # base rule: words, percent of words in repeated windows
 MIN_CHARS, MIN_WORDS = 200, 50
 TRIM = 0.14  # distance of classes up to which a text shapes the second references
 CHAR_LIMIT, SUM_LIMIT, SLACK = 0.3, 0.32, 1.9  # a short text of good prose strays further: the sum may grow by SLACK / sqrt(words)
@@ -88,28 +89,31 @@ def _common(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(word)], names=["word"])
 
 
-def features(docs: DataFrame, common: list[int], doc_id: str, text: str, lang: str) -> DataFrame:
-    known = np.sort(np.array(common, np.int64).view(np.uint64))
-
+def _features(column: pa.Array, known: np.ndarray) -> list[np.ndarray]:
+    """Base counts, character classes and common words of each text."""
+    data, offsets = W.text_bytes(column)
+    out = [[np.zeros(0, np.int64)] * 5 + [np.zeros((0, CLASSES), np.int64), np.zeros((0, len(known)), np.int64)]]
+    for i, j in W.chunks(offsets):
+        piece, cuts = data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
+        h, counts = W.hash_words(piece, cuts, lower=True)
+        raw, _ = W.hash_words(piece, cuts)
+        lead = _LEAD[piece]
+        owner = np.repeat(np.arange(j - i, dtype=np.int32), np.diff(cuts))
+        chars = np.bincount(owner[lead] * CLASSES + _CLASS[piece[lead]], minlength=(j - i) * CLASSES).reshape(j - i, CLASSES)
+        hit, words = np.zeros(len(h), bool), np.zeros((j - i, 0), np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            hit = known[at] == h
+            words = np.bincount(W.owners(counts)[hit] * len(known) + at[hit], minlength=(j - i) * len(known)).reshape(j - i, len(known))
+        lines = [repeated_lines(piece[a:z].tobytes().decode()) for a, z in zip(cuts, cuts[1:])]
+        out.append([counts, _per_text(lead & ~W.SPACES[piece], cuts), _per_text(_SYMBOLS[piece], cuts), np.array(lines, np.int64), repeated_words(raw, counts), chars, words])
+    return [np.concatenate(c) for c in zip(*out)]
+
+
+def features(docs: DataFrame, known: np.ndarray, doc_id: str, text: str, lang: str) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            data, offsets = W.text_bytes(part.column(1))
-            columns = []
-            for i, j in W.chunks(offsets):
-                piece, cuts = data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
-                h, counts = W.hash_words(piece, cuts, lower=True)
-                raw, _ = W.hash_words(piece, cuts)
-                lead = _LEAD[piece]
-                owner = np.repeat(np.arange(j - i), np.diff(cuts))
-                chars = np.bincount(owner[lead] * CLASSES + _CLASS[piece[lead]], minlength=(j - i) * CLASSES).reshape(j - i, CLASSES)
-                at = np.searchsorted(known, h)
-                hit = known[np.minimum(at, len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
-                words = np.bincount(W.owners(counts)[hit] * len(known) + at[hit], minlength=(j - i) * len(known)).reshape(j - i, len(known)) if len(known) else np.zeros((j - i, 0), int)
-                lines = [repeated_lines(piece[a:z].tobytes().decode()) for a, z in zip(cuts, cuts[1:])]
-                columns.append((counts, _per_text(lead & ~W.SPACES[piece], cuts), _per_text(_SYMBOLS[piece], cuts), lines, repeated_words(raw, counts), chars, words))
-            if not columns:
-                continue
-            flat = [np.concatenate(c) for c in zip(*columns)]
+            flat = _features(part.column(1), known)
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(c) + 1) * c.shape[1], pa.int32()), pa.array(c.ravel().astype(np.int32))) for c in flat[5:]]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *[pa.array(c.astype(np.int64)) for c in flat[:5]], *lists], names=["doc_id", "lang", *_COUNTS, "chars", "words"])
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -117,8 +121,8 @@ def features(docs: DataFrame, common: list[int], doc_id: str, text: str, lang: s
     return rows.mapInArrow(run, f"doc_id {kind}, lang string, " + ", ".join(f"{c} long" for c in _COUNTS) + ", chars array<int>, words array<int>")
 
 
-def base_failed(floor: int = 50):
-    return (F.col("n_words") < floor) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+def base_failed() -> Column:
+    return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEATED * F.col("n_words"))
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -132,7 +136,11 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 def _matrix(part: pa.RecordBatch, column: str) -> np.ndarray:
     flat = part.column(column).flatten().to_numpy()
-    return flat.reshape(part.num_rows, -1).astype(np.float64)
+    return flat.reshape(part.num_rows, -1 if len(flat) else 0).astype(np.float64)
+
+
+def _histograms(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return part.column("n_words").to_numpy(), _matrix(part, "chars"), _matrix(part, "words")
 
 
 def _shares(x: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -152,14 +160,13 @@ class References:
         self.uses = [np.flatnonzero(row >= COMMON) for row in exact]
         self.words = [np.r_[words[k, use], 1 - words[k, use].sum()] for k, use in enumerate(self.uses)]
 
-    def nearest(self, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def nearest(self, n: np.ndarray, chars: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(language, distance of classes, distance of words) of the nearest language."""
-        chars, words, n = _matrix(part, "chars"), _matrix(part, "words") if len(part.column("words").flatten()) else np.zeros((part.num_rows, 0)), part.column("n_words").to_numpy()
         shares = _shares(chars, chars.sum(1))
         d_chars = np.stack([distance(shares, q) for q in self.chars], 1)
         d_words = np.stack([distance(_with_rest(words, n, use), q) for use, q in zip(self.uses, self.words)], 1)
         best = (d_chars + d_words).argmin(1)
-        rows = np.arange(part.num_rows)
+        rows = np.arange(len(n))
         return best, d_chars[rows, best], d_words[rows, best]
 
 
@@ -175,9 +182,8 @@ def references(rows: DataFrame, before: References | None = None) -> References
         for part in parts:
             if part.num_rows == 0:
                 continue
-            use = np.ones(part.num_rows, bool) if before is None else before.nearest(part)[1] <= TRIM
-            chars, n = _matrix(part, "chars"), part.column("n_words").to_numpy()
-            words = _matrix(part, "words") if len(part.column("words").flatten()) else np.zeros((part.num_rows, 0))
+            n, chars, words = _histograms(part)
+            use = np.ones(len(n), bool) if before is None else before.nearest(n, chars, words)[1] <= TRIM
             row = np.c_[np.ones(len(n)), n, _shares(chars, chars.sum(1)), _shares(words, n), words]
             names = np.array(part.column("lang").to_pylist(), object)
             for name in set(names[use]):
@@ -194,23 +200,28 @@ def references(rows: DataFrame, before: References | None = None) -> References
     return References([r["lang"] for r in totals], means[:, :CLASSES], means[:, CLASSES:], sums[:, 2 + CLASSES + size:] / np.maximum(sums[:, 1:2], 1))
 
 
-def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """``doc_id``, the base counts, ``base_failed, kept, nearest_lang, char_distance, word_distance``."""
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[np.ndarray, References | None, DataFrame]:
+    """(common words, references, feature rows of all texts)."""
     B.prepare(docs.sparkSession)
-    sample = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
-    common = [r["word"] for r in sample.mapInArrow(_common, "word long").distinct().collect()]  # 1 / COMMON per language and batch at most
-    rows = settle(features(docs, common, doc_id, text, lang))
+    named = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
+    common = [r["word"] for r in named.mapInArrow(_common, "word long").distinct().collect()]  # 1 / COMMON per language and batch at most
+    known = np.sort(np.array(common, np.int64).view(np.uint64))
+    rows = settle(features(docs, known, doc_id, text, lang))
     refs = references(rows)
-    refs = references(rows, refs) if refs is not None else None
+    return known, references(rows, refs) if refs is not None else None, rows
+
+
+def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """``doc_id``, the base counts, ``base_failed, kept, nearest_lang, char_distance, word_distance``."""
+    _, refs, rows = fit(docs, doc_id, text, lang)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            n = part.num_rows
-            if refs is None or n == 0:
-                best, d_chars, d_words, good = [None] * n, np.zeros(n), np.zeros(n), np.ones(n, bool)
-            else:
-                k, d_chars, d_words = refs.nearest(part)
-                best, good = [refs.languages[x] for x in k], verdict(_matrix(part, "chars").sum(1), part.column("n_words").to_numpy(), d_chars, d_words)
+            n, chars, words = _histograms(part)
+            best, d_chars, d_words, good = [None] * len(n), np.zeros(len(n)), np.zeros(len(n)), np.ones(len(n), bool)
+            if refs is not None and len(n):
+                k, d_chars, d_words = refs.nearest(n, chars, words)
+                best, good = [refs.languages[x] for x in k], verdict(chars.sum(1), n, d_chars, d_words)
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("doc_id", *_COUNTS)], pa.array(good), pa.array(best, pa.string()), pa.array(d_chars), pa.array(d_words)],
                                              names=["doc_id", *_COUNTS, "good", "nearest_lang", "char_distance", "word_distance"])
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in _COUNTS) + ", good boolean, nearest_lang string, char_distance double, word_distance double"
@@ -218,5 +229,18 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     return judged.select("doc_id", *_COUNTS, base_failed().alias("base_failed"), (~base_failed() & F.col("good")).alias("kept"), "nearest_lang", "char_distance", "word_distance")
 
 
+def passes(known: np.ndarray, refs: References | None, text: Column) -> Column:
+    """The verdict on a text column."""
+    @F.arrow_udf("boolean")
+    def judged(column: pa.Array) -> pa.Array:
+        n, _, _, _, again, chars, words = _features(column, known)
+        good = (n >= LEAST_WORDS) & (100 * again <= REPEATED * n)
+        if refs is not None and len(n):
+            _, d_chars, d_words = refs.nearest(n, chars.astype(np.float64), words.astype(np.float64))
+            good &= verdict(chars.sum(1), n, d_chars, d_words)
+        return pa.array(good)
+    return judged(text)
+
+
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judge(spark.read.parquet(f"{folder}/documents.parquet"))

@@ -15,6 +15,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hallwatch.llm import batches as B, words as W
@@ -101,7 +102,7 @@ def _joined(data: np.ndarray, offsets: np.ndarray, keep: np.ndarray) -> pa.Array
     return pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends.tobytes()), pa.py_buffer(body.tobytes())).cast(pa.string())
 
 
-def _remove(width: int, buckets: int):
+def _remove(width: int, buckets: int, untouched: bool):
     def remove(docs: pa.Table, masks: pa.Table) -> pa.Table:
         docs = B.in_order(docs, "doc_id", "text") if len(docs) else docs
         data, offsets, counts, keys, first, of_text, leader, sent = _repeats(docs, width)
@@ -122,15 +123,18 @@ def _remove(width: int, buckets: int):
         base = (np.cumsum(counts) - counts)[text[a]]
         pairs = pa.StructArray.from_arrays([pa.array(a - base), pa.array(z - base)], names=["first", "last"])
         per_text = np.r_[0, np.cumsum(np.bincount(text[a], minlength=len(counts)))].astype(np.int32)
+        n_removed, kept = np.bincount(text[gone], minlength=len(counts)).astype(np.int64), _joined(data, offsets, ~gone)
+        if untouched:
+            kept = pc.if_else(pa.array(n_removed == 0), docs.column("text"), kept)
         return pa.table({
             "doc_id": docs.column("doc_id"), "n_words": pa.array(counts.astype(np.int64)),
-            "n_removed": pa.array(np.bincount(text[gone], minlength=len(counts)).astype(np.int64)),
-            "kept": _joined(data, offsets, ~gone), "removed": pa.ListArray.from_arrays(pa.array(per_text), pairs), "carried": docs.column("carried")})
+            "n_removed": pa.array(n_removed), "kept": kept, "removed": pa.ListArray.from_arrays(pa.array(per_text), pairs), "carried": docs.column("carried")})
     return remove
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept`` (words left, one space between), ``removed`` (word intervals, end exclusive), ``carried``.
+def remove_repeats(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text", carry: Sequence[str] = (), untouched: bool = False) -> DataFrame:
+    """``doc_id, n_words, n_removed, kept`` (words left, one space between; with ``untouched`` a text that loses nothing
+    stays as it is), ``removed`` (word intervals, end exclusive), ``carried``.
 
     Texts are shuffled once into batches; the same exchange serves both passes."""
     B.prepare(docs.sparkSession)
@@ -143,7 +147,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id",
     sent = by_batch.applyInArrow(_send(width, batches), _PACKED)
     masks = sent.groupBy("bucket").applyInArrow(_judge, "batch int, bucket int, mask binary")
     return by_batch.cogroup(masks.groupBy("batch")).applyInArrow(
-        _remove(width, batches), f"doc_id long, n_words long, n_removed long, kept string, removed array<struct<first:bigint,last:bigint>>, carried {carried}")
+        _remove(width, batches, untouched), f"doc_id long, n_words long, n_removed long, kept string, removed array<struct<first:bigint,last:bigint>>, carried {carried}")
 
 
 def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
