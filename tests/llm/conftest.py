@@ -1,0 +1,19 @@
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
+from odd_rows import odd_texts  # noqa: E402
+
+
+@pytest.fixture(scope="session")
+def odd():
+    return odd_texts()
+
+
+@pytest.fixture(scope="session")
+def documents(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    return sorted((r.doc_id, r.text) for r in rows)
