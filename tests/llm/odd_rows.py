@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 SCHEMA = "doc_id long, text string, lang string, source string, batch int, bucket string, id double, n_words string, keys int, size string"
 
 
@@ -27,3 +29,14 @@ def odd_texts():
 def frame(spark, rows):
     langs = ["en", "fr", None]
     return spark.createDataFrame([(i, t, langs[k % 3], None, k, "b", float(k), "n", None, "s") for k, (i, t) in enumerate(rows)], SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="session")
+def odd():
+    return odd_texts()
+
+
+@pytest.fixture(scope="session")
+def documents(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    return sorted((r.doc_id, r.text) for r in rows)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import brute
 from hallwatch.llm import batches, best_fit_packing, bpe, chat_examples, components, language_id, license_scan, ngram_join, quality_rules, rotation_codes, substring_dedup, suffix_tree_lm
-from odd_rows import SCHEMA, frame, prose
+from odd_rows import SCHEMA, documents, frame, odd, prose  # noqa: F401
 
 SMALL = "/root/testdata/sf0.001"
 

@@ -2,7 +2,7 @@
 
 import brute
 import corpus_pipeline
-from odd_rows import frame
+from odd_rows import frame, odd  # noqa: F401
 from hallwatch.llm import best_fit_packing
 
 
