@@ -4,8 +4,8 @@ A text's histograms of character classes and of common words are compared with r
 Jensen-Shannon distance (base 2, so 0 to 1); the nearest language counts. References are means of the histograms of
 all texts of a language that pass the base rules, taken twice: the second time without texts far from the first.
 
-Common words of a language are those with at least ``COMMON`` of its words. By the pigeonhole principle such a word
-also has that share in some Arrow batch, so batches name candidates and exact counts over all texts decide.
+Common words of a language are those with at least ``COMMON`` of its words: chunks of texts name candidates so that no
+such word is missed, and exact counts over all texts decide.
 
 A text is rejected if its classes are over ``CHAR_LIMIT`` away, or both distances together over ``SUM_LIMIT``.
 Guards: a text under ``MIN_CHARS`` characters skips both tests and one under ``MIN_WORDS`` words the second, whose limit
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hallwatch.llm import batches as B, words as W
-from hallwatch.operators.state_tables import settle
+from hallwatch.operators.state_tables import discard, settle
 
 COMMON = 1 / 250
 LEAST_WORDS, REPEATED = 50, 50  # base rule: words, percent of words in repeated windows
@@ -75,7 +75,7 @@ def repeated_words(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _common(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words that are common in some language's part of some batch."""
+    """Per language the number of words, and the words that reach half of ``COMMON`` in a chunk."""
     for part in parts:
         names = part.column(1).dictionary_encode()
         lang, names = names.indices.to_numpy(), names.dictionary
@@ -85,8 +85,22 @@ def _common(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mine = lang[i:j][W.owners(counts)]
             for k in np.unique(mine):
                 word, n = np.unique(h[mine == k], return_counts=True)
-                word = word[n >= COMMON * n.sum()].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(word)], names=["word"])
+                often = n >= COMMON / 2 * n.sum()
+                words = pa.array(np.r_[0, word[often].view(np.int64)], mask=np.arange(often.sum() + 1) == 0)
+                yield pa.RecordBatch.from_arrays([pa.array([names[int(k)].as_py()] * len(words), pa.string()), words, pa.array(np.r_[n.sum(), n[often]])], names=["lang", "word", "n"])
+
+
+def common_words(docs: DataFrame, text: str, lang: str) -> np.ndarray:
+    """Hashes of all words that may be common in a language: ``2 / COMMON`` per language at most.
+
+    A chunk that does not name a word holds less than half of ``COMMON`` of it, so a common word's named occurrences
+    make up at least half of ``COMMON`` of all words."""
+    named = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
+    counts = settle(named.mapInArrow(_common, "lang string, word long, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    totals = counts.where("word is null").select("lang", F.col("n").alias("total"))
+    words = counts.where("word is not null").join(totals, "lang").where(F.col("n") >= COMMON / 2 * F.col("total")).select("word").distinct().collect()
+    discard(counts)
+    return np.sort(np.array([r["word"] for r in words], np.int64).view(np.uint64))
 
 
 def _features(column: pa.Array, known: np.ndarray) -> list[np.ndarray]:
@@ -203,9 +217,7 @@ def references(rows: DataFrame, before: References | None = None) -> References
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[np.ndarray, References | None, DataFrame]:
     """(common words, references, feature rows of all texts)."""
     B.prepare(docs.sparkSession)
-    named = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
-    common = [r["word"] for r in named.mapInArrow(_common, "word long").distinct().collect()]  # 1 / COMMON per language and batch at most
-    known = np.sort(np.array(common, np.int64).view(np.uint64))
+    known = common_words(docs, text, lang)
     rows = settle(features(docs, known, doc_id, text, lang))
     refs = references(rows)
     return known, references(rows, refs) if refs is not None else None, rows
