@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from hallwatch.functions import vectors
 from hallwatch.functions.clock import micros, slot, to_micros
 from hallwatch.operators.grouped import no_rows, plain_strings
-from hallwatch.operators.state_tables import settle
+from hallwatch.operators.state_tables import discard, settle
 from hallwatch.params import DEFAULTS, Params
 
 EDGE_COLUMNS = ["entry_id", "exit_id", "from_camera", "to_camera", "exit_us", "entry_us"]
@@ -61,7 +61,8 @@ def zone_candidates(exits: DataFrame, entries: DataFrame, p: Params = DEFAULTS)
 
 def edge_candidates(exits: DataFrame, entries: DataFrame, edges: DataFrame, p: Params = DEFAULTS,
                     left_by_edge: DataFrame | None = None) -> DataFrame:
-    """Without zones a lost track waits for the first connected camera, within that edge's limit.
+    """Without zones a lost track waits for the first connected camera, within that edge's limit
+    and never longer than ``edge_handover_sec``.
 
     ``left_by_edge`` (exit_id, to_camera from the exit check) replaces the first camera by the one
     whose exit rectangle the box was in; exits not in it then wait for nobody.
@@ -75,13 +76,14 @@ def edge_candidates(exits: DataFrame, entries: DataFrame, edges: DataFrame, p: P
             F.min_by("max_handover_sec", "edge_ord").alias("limit_sec"))
         target = left_by_edge.select("exit_id", F.col("to_camera").alias("target"))
         waiting = exits.drop("limit_sec").join(target, "exit_id").join(limits, ["camera_id", "target"])
+    waiting = waiting.withColumn("limit_sec", F.least("limit_sec", F.lit(p.edge_handover_sec)))
     arriving = entries.withColumn("target", F.col("camera_id"))
     return _timed_candidates(waiting, arriving, "target", p, p.edge_handover_sec).drop("target")
 
 
 # ---- reappearance ---------------------------------------------------------------------------
 
-_ROWS_AT_ONCE, _CELLS_AT_ONCE = 256, 4_000_000
+_ROWS_AT_ONCE, CELLS_AT_ONCE = 256, 4_000_000
 
 
 def _padded(sizes: np.ndarray) -> tuple[int, np.ndarray]:
@@ -92,28 +94,38 @@ def _padded(sizes: np.ndarray) -> tuple[int, np.ndarray]:
     return width, owner * width + at
 
 
-def reappearance_candidates(lost: DataFrame, entries: DataFrame, p: Params = DEFAULTS, salts: int = 1) -> DataFrame:
+ENTRIES_PER_TASK = 20_000
+
+
+def salted(known: DataFrame, asked: DataFrame, keys: list[str], size: int) -> tuple[DataFrame, DataFrame]:
+    """Splits the rows of ``asked`` of each key into parts of about ``size`` and copies ``known`` to every part."""
+    parts = asked.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("_parts"))
+    spread = asked.join(parts, keys).withColumn("_salt", F.pmod(F.xxhash64("entry_id"), F.col("_parts")).cast("int")).drop("_parts")
+    copied = known.join(parts, keys).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return copied, spread
+
+
+def reappearance_candidates(lost: DataFrame, entries: DataFrame, p: Params = DEFAULTS, per_task: int = ENTRIES_PER_TASK) -> DataFrame:
     """New tracks against the tracks of the same site lost on another camera in the last minutes.
 
     lost: exit_id, site_id, camera_id, exit_ts, vectors (short array of unit vectors), and optionally
     until_us (after which the lost track is gone); entries: entry_id, site_id, camera_id, entry_ts,
     quality, embedding. Only pairs whose median cosine exceeds the threshold leave the task; the
     rest are compared as matrix blocks. Groups are (site, time slot), with the lost tracks of the
-    look-back copied over a slot's edge; ``salts`` splits the entries of a busy site further.
+    look-back copied over a slot's edge; slots with more than ``per_task`` entries are split further.
     """
     window, slot_sec = to_micros(p.reappear_sec), max(p.chunk_sec, p.reappear_sec)
     x = lost.filter(F.size("vectors") > 0).withColumn("exit_us", micros(F.col("exit_ts")))
     no_end = F.lit(2**62).cast("long")
     x = x.withColumn("until_us", F.coalesce("until_us", no_end) if "until_us" in lost.columns else no_end)
     x = (x.withColumn("_slot", F.explode(F.sequence(slot(F.col("exit_us"), slot_sec), slot(F.col("exit_us") + window, slot_sec))))
-         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-         .select(F.col("site_id").alias("_site"), "_slot", "_salt", "exit_id", F.col("camera_id").alias("from_camera"), "exit_us", "until_us",
+         .select(F.col("site_id").alias("_site"), "_slot", "exit_id", F.col("camera_id").alias("from_camera"), "exit_us", "until_us",
                  F.size("vectors").alias("n_vectors"), F.flatten("vectors").alias("flat")))
     e = (entries.filter((F.col("quality") >= p.min_visibility) & F.col("embedding").isNotNull())
          .withColumn("entry_us", micros(F.col("entry_ts"))).withColumn("_slot", slot(F.col("entry_us"), slot_sec))
-         .withColumn("_salt", F.pmod(F.xxhash64("entry_id"), F.lit(salts)).cast("int"))
-         .select(F.col("site_id").alias("_site"), "_slot", "_salt", "entry_id", F.col("camera_id").alias("to_camera"), "entry_us",
+         .select(F.col("site_id").alias("_site"), "_slot", "entry_id", F.col("camera_id").alias("to_camera"), "entry_us",
                  vectors.unit(F.col("embedding")).alias("vec")))
+    x, e = salted(x, e, ["_site", "_slot"], per_task)
 
     def compare(key: tuple[Any, ...], left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         columns = ["site_id", *EDGE_COLUMNS, "score"]
@@ -129,7 +141,7 @@ def reappearance_candidates(lost: DataFrame, entries: DataFrame, p: Params = DEF
         while i < len(right):
             # only the band of lost tracks that these entries can look back to
             low = int(np.searchsorted(out_us, in_us[i] - window, side="right"))
-            step = min(_ROWS_AT_ONCE, max(1, _CELLS_AT_ONCE // max(1, int(sizes[low:].sum()))))
+            step = min(_ROWS_AT_ONCE, max(1, CELLS_AT_ONCE // max(1, int(sizes[low:].sum()))))
             rows = slice(i, min(i + step, len(right)))
             i = rows.stop
             band = slice(low, int(np.searchsorted(out_us, in_us[i - 1], side="right")))
@@ -172,6 +184,10 @@ def resolve(edges: DataFrame, group: list[str], prefer: list[str], slot_sec: flo
     the assumption is recomputed from the answers, and only slots whose assumption changed are
     solved again. The first slot is right from the start and each round settles at least one more,
     so the end is exactly the sequential answer; in practice a few rounds do.
+
+    Slots are coupled only by candidates that occur in several of them, a small share as limits are
+    seconds and slots an hour. Rounds pass on just which of those each slot used; the slots that
+    never changed keep their first answer, the others are solved once more at the end.
     """
     place = [*group, "slot"]
     work = settle(edges.withColumn("slot", slot(F.col("entry_us"), slot_sec)))
@@ -198,26 +214,34 @@ def resolve(edges: DataFrame, group: list[str], prefer: list[str], slot_sec: flo
                       .withColumn("_gone", F.coalesce("_mark", F.lit(False))).drop("_mark"))
         return tagged.groupBy(*place).applyInPandas(solve, schema)
 
-    later = work.select(*place, "exit_id").distinct()
+    first = settle(solved(work, None))
+    several = work.groupBy(*group, "exit_id").agg(F.min("slot").alias("_low"), F.max("slot").alias("_high")).filter("_low < _high").select(*group, "exit_id")
+    shared = settle(work.join(several, [*group, "exit_id"], "left_semi").select(*place, "exit_id").distinct())
+
+    def used_by(answer: DataFrame) -> DataFrame:
+        return answer.join(shared, [*place, "exit_id"], "left_semi").select(*place, "exit_id")
 
-    def implied(answer: DataFrame) -> DataFrame:
-        used = answer.select(*group, "exit_id", F.col("slot").alias("_at")).groupBy(*group, "exit_id").agg(F.min("_at").alias("_at"))
-        return later.join(used, [*group, "exit_id"]).filter("slot > _at").select(*place, "exit_id")
+    def implied(used: DataFrame) -> DataFrame:
+        earliest = used.groupBy(*group, "exit_id").agg(F.min("slot").alias("_at"))
+        return shared.join(earliest, [*group, "exit_id"]).filter("slot > _at").select(*place, "exit_id")
 
-    answer = settle(solved(work, None))
-    assumed = None
+    used, assumed, touched = settle(used_by(first)), None, None
     while True:
-        now = settle(implied(answer))
-        if assumed is None:
-            changed = now.select(*place).distinct()
-        else:
-            changed = now.exceptAll(assumed).unionByName(assumed.exceptAll(now)).select(*place).distinct()
-        changed = settle(changed)
+        now = settle(implied(used))
+        changed = now if assumed is None else now.exceptAll(assumed).unionByName(assumed.exceptAll(now))
+        changed = settle(changed.select(*place).distinct())
         if changed.isEmpty():
-            return answer.select(*columns)
-        again = solved(work.join(changed, place, "left_semi"), now)
-        answer = settle(answer.join(changed, place, "left_anti").unionByName(again))
+            break
+        again = used_by(solved(work.join(changed, place, "left_semi"), now))
+        before, used = used, settle(used.join(changed, place, "left_anti").unionByName(again))
+        touched = changed if touched is None else settle(touched.unionByName(changed).distinct())
+        discard(before, *[assumed] * (assumed is not None))
         assumed = now
+    if touched is None:
+        return first.select(*columns)
+    last = settle(first.join(touched, place, "left_anti").unionByName(solved(work.join(touched, place, "left_semi"), assumed)))
+    discard(work, first, shared, used, now, assumed, touched, changed)
+    return last.select(*columns)
 
 
 def resolve_zone_handover(edges: DataFrame, p: Params = DEFAULTS) -> DataFrame:

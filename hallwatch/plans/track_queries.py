@@ -191,7 +191,7 @@ def zone_handover_resolved(v: Views) -> DataFrame:
 
 @query("O40", check=sql(f"""SELECT e.track_id AS entry_id, x.track_id AS exit_id, x.camera_id AS from_camera, e.camera_id AS to_camera FROM spans x
     JOIN (SELECT from_camera, min_by(to_camera, edge_ord) AS target, min_by(max_handover_sec, edge_ord) AS lim FROM edges GROUP BY 1) w ON w.from_camera = x.camera_id
-    JOIN spans e ON e.camera_id = w.target AND e.t_in >= x.t_out AND e.t_in <= x.t_out + w.lim*1000 AND {_ALIKE}""", "spans", "edges"))
+    JOIN spans e ON e.camera_id = w.target AND e.t_in >= x.t_out AND e.t_in <= x.t_out + least(w.lim, 3.0)*1000 AND {_ALIKE}""", "spans", "edges"))
 def edge_handover_candidates(v: Views) -> DataFrame:
     return handover.edge_candidates(v.exits(3.0), v.entries(), v.edges()).select("entry_id", "exit_id", "from_camera", "to_camera")
 
