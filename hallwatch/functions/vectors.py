@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import BinaryType
 
@@ -48,12 +49,22 @@ def median_of(values: Column) -> Column:
     return once(F.array_sort(values), middle)
 
 
-@F.pandas_udf(VECTOR)
-def from_blob(blobs: pd.Series) -> pd.Series:
-    """Little-endian float32 bytes to a vector."""
-    return blobs.map(lambda b: None if b is None else np.frombuffer(b, dtype="<f4"))
-
-
-@F.pandas_udf(BinaryType())
-def to_blob(vectors: pd.Series) -> pd.Series:
-    return vectors.map(lambda v: None if v is None else np.asarray(v, dtype="<f4").tobytes())
+@F.arrow_udf(VECTOR)
+def from_blob(blobs: pa.Array) -> pa.Array:
+    """Little-endian float32 bytes to a vector; the bytes are taken over as they are."""
+    blobs = blobs.cast(pa.binary())
+    size = np.diff(np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset:blobs.offset + len(blobs) + 1]) if len(blobs) else np.zeros(0, np.int32)
+    if (size % 4).any():
+        raise ValueError("a vector's bytes must be a multiple of four")
+    values = np.frombuffer(b"".join(b.as_buffer() for b in blobs if b.is_valid), dtype="<f4")
+    offsets = np.cumsum(np.r_[0, np.where(np.asarray(blobs.is_valid()), size // 4, 0)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.float32()), mask=blobs.is_null())
+
+
+@F.arrow_udf(BinaryType())
+def to_blob(vectors: pa.Array) -> pa.Array:
+    size = np.asarray(pc.fill_null(pc.list_value_length(vectors), 0))
+    body = vectors.drop_null().flatten().to_numpy(zero_copy_only=False).astype("<f4").tobytes()
+    ends = (np.cumsum(np.r_[0, size]) * 4).astype(np.int32)
+    whole = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(body)])
+    return pc.if_else(vectors.is_valid(), whole, pa.scalar(None, pa.binary()))

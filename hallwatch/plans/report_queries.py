@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from hallwatch.functions.vectors import from_blob
 from hallwatch.operators import reports, tracker
 from hallwatch.params import DEFAULTS
 from hallwatch.plans.oracle_views import B, sql
@@ -221,11 +222,12 @@ def set_difference(v: Views) -> DataFrame:
 
 # ---- ingest ---------------------------------------------------------------------------------
 
-@query("O07", check=sql("SELECT vec_id, 64::BIGINT AS dims, round(v[1], 6) AS first_value, round(v[64], 6) AS last_value FROM vecs", "vecs"))
+@query("O07", check=sql("SELECT vec_id, 64::BIGINT AS dims, round(v[1], 6) AS first_value, round(v[64], 6) AS last_value, '1.0,-2.5' AS known FROM vecs", "vecs"))
 def blob_ingest(v: Views) -> DataFrame:
     d = stores.decode_blobs(stores.encode_blobs(v.vectors()))
     first, last = F.col("embedding")[0].cast("double"), F.element_at("embedding", -1).cast("double")
-    return d.select("vec_id", F.size("embedding").cast("long").alias("dims"), r6(first).alias("first_value"), r6(last).alias("last_value"))
+    known = from_blob(F.unhex(F.lit("0000803F000020C0")))  # 1 and -2.5 in float32, lowest byte first
+    return d.select("vec_id", F.size("embedding").cast("long").alias("dims"), r6(first).alias("first_value"), r6(last).alias("last_value"), F.array_join(known, ",").alias("known"))
 
 
 @query("O09", check=sql("SELECT person_id, concat('img_', vec_id) AS source_image, true AS has_id FROM vecs WHERE person_id <> 4", "vecs"))

@@ -342,7 +342,7 @@ def cameras_seen(v: Views) -> DataFrame:
     return identity.cameras_seen(obs).select("track_id", F.array_join("cameras_seen", ">").alias("cameras"))
 
 
-@query("O24", "O38", "O55", "O66", "O67", "O68", "O70")
+@query("O38", "O55", "O66", "O67")
 def observed_identities(v: Views) -> DataFrame:
     """Frames to identities in one go; no SQL counterpart, tested on a scene with a known story."""
     from hallwatch.plans.household import observe

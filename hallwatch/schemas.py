@@ -31,7 +31,7 @@ ZONE_CONFIG = _table(
 )
 OVERLAP_CONFIG = _table(
     cameras=T.ArrayType(_S), cam1_exit_zone=T.ArrayType(_D), cam2_entry_zone=T.ArrayType(_D),
-    max_handover_sec=_D,
+    max_handover_sec=_D, overlap_ord=_L,
 )
 
 PERSONS = _table(person_id=_L, name=_S, created_at=_TS, is_active=_B)

@@ -39,8 +39,10 @@ def zone_dimension(config: DataFrame, p: Params = DEFAULTS) -> DataFrame:
 
 
 def read_edges(spark: SparkSession, path: str, p: Params = DEFAULTS) -> DataFrame:
+    """``overlap_ord`` of the configuration says which of several edges counts first; a configuration
+    of one file without it keeps the order of its lines."""
     rows = spark.read.schema(schemas.OVERLAP_CONFIG).json(path)
-    return edge_dimension(rows.withColumn("overlap_ord", F.monotonically_increasing_id()), p)
+    return edge_dimension(rows.withColumn("overlap_ord", F.coalesce("overlap_ord", F.monotonically_increasing_id())), p)
 
 
 def edge_dimension(overlaps: DataFrame, p: Params = DEFAULTS) -> DataFrame:
