@@ -17,7 +17,7 @@ from hallwatch.params import DEFAULTS, Params
 EDGE_COLUMNS = ["entry_id", "exit_id", "from_camera", "to_camera", "exit_us", "entry_us"]
 
 
-def _appearance(p: Params):
+def appearance(p: Params):
     """Accept without a vector on either side, else only a good crop that looks alike."""
     known = F.col("entry_vec").isNotNull() & F.col("exit_vec").isNotNull()
     score = F.when(known & (F.col("quality") >= p.min_visibility), vectors.cosine(F.col("entry_vec"), F.col("exit_vec")))
@@ -42,7 +42,7 @@ def _timed_candidates(exits: DataFrame, entries: DataFrame, place: str, p: Param
          .select(place, "_slot", "entry_id", F.col("camera_id").alias("to_camera"), "entry_us", "quality",
                  F.col("embedding").alias("entry_vec")))
     in_time = (F.col("entry_us") >= F.col("exit_us")) & (F.col("entry_us") <= F.col("until_us"))
-    score, accepted = _appearance(p)
+    score, accepted = appearance(p)
     return (x.join(e, [place, "_slot"]).filter(in_time & (F.col("from_camera") != F.col("to_camera")))
             .withColumn("score", score).filter(accepted)
             .select(place, *EDGE_COLUMNS, "score"))

@@ -168,7 +168,10 @@ def _zone_edges(v: Views, limit: float) -> DataFrame:
     return handover.zone_candidates(v.exits(limit), v.entries())
 
 
-@query("O37", check=sql(f"SELECT * FROM ({_zone_edges_sql(5000)})", "spans"))
+ZONE_CANDIDATES = sql(f"SELECT * FROM ({_zone_edges_sql(5000)})", "spans")
+
+
+@query("O37", check=ZONE_CANDIDATES)
 def zone_handover_candidates(v: Views) -> DataFrame:
     return _zone_edges(v, 5.0).select("zone", "entry_id", "exit_id", F.expr("exit_us div 1000").alias("exit_ms"), F.expr("entry_us div 1000").alias("entry_ms"))
 
@@ -184,7 +187,10 @@ def _greedy(edges: str, group: str, order: str) -> str:
         links AS (SELECT {group}, entry_id, pick AS exit_id FROM walk WHERE pick IS NOT NULL)"""
 
 
-@query("O38", "O37", check=sql(f"WITH RECURSIVE {_greedy(_zone_edges_sql(12000), 'zone', 'exit_ms')} SELECT zone, entry_id, exit_id FROM links", "spans"))
+ZONE_LINKS = sql(f"WITH RECURSIVE {_greedy(_zone_edges_sql(12000), 'zone', 'exit_ms')} SELECT zone, entry_id, exit_id FROM links", "spans")
+
+
+@query("O38", "O37", check=ZONE_LINKS)
 def zone_handover_resolved(v: Views) -> DataFrame:
     return handover.resolve_zone_handover(_zone_edges(v, 12.0)).select("zone", "entry_id", "exit_id")
 
