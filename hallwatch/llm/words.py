@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20  # bytes of text handled at once; a longer text is a chunk of its own
+CHUNK_BYTES = 1 << 19  # bytes of text handled at once; a longer text is a chunk of its own
 
 _BYTE_VALUES = np.random.RandomState(20240101).randint(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE_STEP, _WORD_STEP = 0x9E3779B97F4A7C15 & ~7 | 3, 0xD6E8FEB86659FD93 & ~7 | 3
