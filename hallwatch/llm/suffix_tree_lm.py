@@ -1,36 +1,40 @@
-"""LM scoring with a probabilistic suffix tree over the bytes of words.
-
-A text is a sequence of word tokens and one end. A word is spelled byte by byte between a start and an end mark; the
-next byte depends on the longest retained context (up to ``DEPTH`` preceding symbols of the word, the start mark among
-them). A context is a candidate if it makes up ``LEAST`` of all symbols, which bounds the tree at ``DEPTH / LEAST``
-states whatever the corpus; it is retained if its next-symbol distribution differs from that of its suffix by a
-log-likelihood gain of ``GAIN`` nats over its occurrences (or a longer retained context ends in it). Distributions are
-interpolated towards the suffix with one pseudo count per kind of successor (Witten-Bell), add-one at the root. The whole
-word is the longest state of all: its own count is interpolated in the same way with the probability of its spelling.
-
-All counts are exact over all training texts. Every batch sends its distinct words with their counts to the word's
-bucket once; buckets sum them, spell them for the tree (level by level: only symbols after a frequent shorter context
-are counted) and answer every batch with count and log probability. So a word that stands in every text costs one
-entry per batch, and nothing of the vocabulary passes through the driver.
+"""LM scoring with a probabilistic suffix tree over the running words of texts.
+
+A text is a sequence of word tokens between a start and an end mark. The next token depends on the longest retained
+context: up to ``ORDER`` preceding tokens of the text, the start mark among them. A context is counted if it stands at
+least ``LEAST`` times in the training texts, whatever their size, and is retained if its next-token distribution differs
+from that of its nearest retained suffix by a log-likelihood gain of ``GAIN`` nats over its occurrences. Distributions
+are interpolated towards that suffix with one pseudo count per kind of successor (Witten-Bell). At the root a word has
+its own count, interpolated in the same way with the probability of its spelling: a second tree of the same form over
+the bytes of words (contexts of up to ``DEPTH`` symbols; add-one at its root), which is all that an unseen word has.
+
+All counts are exact over all training texts, and both trees stay in buckets (``deepen``), a round per depth. A batch
+keeps the positions whose context stands often enough, with their probability so far, and sends every distinct
+(context, next) once to a pair bucket; pair buckets answer with counts and send each context's share of its successors
+and its gain to the context's bucket, which applies the test and answers. So neither a context nor a pair that stands
+in every text costs more than an entry per batch, and nothing of either tree passes through the driver but the counts
+of the 259 byte symbols.
 
 Defined results: a null text is empty, its only token is the end; rows with a null id belong to the training part.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hallwatch.llm import batches as B, words as W
 from hallwatch.operators.state_tables import discard, settle
 
-DEPTH, LEAST, GAIN = 8, 4e-6, 4.0
+DEPTH, ORDER, LEAST, GAIN = 8, 4, 4, 4.0
 START, STOP, SYMBOLS = 257, 258, 258  # a byte is 1 to 256
-PASSES = ((0, 1, 2), (3, 4), (5, 6), (7, 8))
+STATE, PAIRS, CONTEXTS, COUNTS, SHARES, KINDS = range(6)  # rows of the rounds
+ROWS = "kind int, batch int, bucket int, keys binary, data binary"
 
 _VALUES = np.random.RandomState(20240701).randint(0, 2**63, SYMBOLS + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0xA0761D6478BD642F)
@@ -95,11 +99,10 @@ def _bucket(table: pa.Table):
 
 def _vocabulary(table: pa.Table) -> pa.Table:
     _, _, count, data, sizes = _bucket(table)
-    known = count > 0
-    begins = np.cumsum(sizes) - sizes
-    return pa.table({"words": pa.array([int(known.sum())], pa.int64()), "total": pa.array([int(count.sum())], pa.int64()),
-                     "counts": pa.array([count[known].tobytes()], pa.binary()), "sizes": pa.array([sizes[known].astype(np.uint32).tobytes()], pa.binary()),
-                     "spelled": pa.array([_gather(data, begins[known], sizes[known]).tobytes()], pa.binary())})
+    sym, word, place = symbols(data, sizes)
+    use = place > 0
+    return pa.table({"words": pa.array([int((count > 0).sum())], pa.int64()), "total": pa.array([int(count.sum())], pa.int64()),
+                     "symbols": pa.array([np.bincount(sym[use], count[word[use]], minlength=SYMBOLS + 1).tolist()], pa.list_(pa.float64()))})
 
 
 def symbols(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,15 +131,6 @@ def pair_keys(contexts: np.ndarray, following: np.ndarray) -> np.ndarray:
     return W.mix(contexts + _VALUES[following] * np.uint64(0x8EBC6AF09C88C6E3))
 
 
-def _pieces(part: pa.RecordBatch, limit: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(bytes, sizes, counts) of some words of the vocabulary at a time."""
-    for row in part.to_pylist():
-        sizes, counts = np.frombuffer(row["sizes"], np.uint32).astype(np.int64), np.frombuffer(row["counts"], np.int64)
-        data, ends = np.frombuffer(row["spelled"], np.uint8), np.r_[0, np.cumsum(sizes)]
-        for i, j in W.chunks(ends, limit):
-            yield data[ends[i]:ends[j]], sizes[i:j], counts[i:j]
-
-
 def member(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Place of each key, -1 where it is missing."""
     if len(sorted_keys) == 0:
@@ -145,31 +139,6 @@ def member(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(sorted_keys[at] == keys, at, -1)
 
 
-def _count(depths: tuple[int, ...], frequent: np.ndarray | None):
-    """Counts of (context, next symbol) for these depths after contexts whose ``min(depths) - 1`` suffix is frequent."""
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for data, sizes, counts in _pieces(part):
-                sym, word, place = symbols(data, sizes)
-                at = np.flatnonzero(place > 0)
-                up = np.zeros(len(at), np.uint64)
-                if frequent is not None:
-                    at = at[place[at] >= depths[0] - 1]
-                    up = context_keys(sym, at, depths[0] - 1)
-                    known = member(frequent, up) >= 0
-                    at, up = at[known], up[known]
-                for depth in depths:
-                    far = place[at] >= depth
-                    at, up = at[far], up[far]
-                    here = context_keys(sym, at, depth, up) if depth else up
-                    keys, first, which = np.unique(pair_keys(here, sym[at]), return_index=True, return_inverse=True)
-                    n = np.bincount(which, counts[word[at]], minlength=len(keys)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), depth, np.int32)), *[pa.array(x[first].view(np.int64)) for x in (here, up)],
-                                                      pa.array(sym[at[first]].astype(np.int32)), pa.array(n)], names=["depth", "context", "suffix", "next", "n"])
-                    up = here
-    return run
-
-
 @dataclass(frozen=True)
 class Level:
     contexts: np.ndarray  # hashes, sorted
@@ -236,26 +205,149 @@ def spell(levels: list[Level], data: np.ndarray, sizes: np.ndarray) -> np.ndarra
     return out
 
 
-def grow(vocabulary: DataFrame) -> list[Level]:
-    """The tree from the words of the vocabulary and their counts."""
-    levels: list[Level] = []
-    frequent, least = None, 0.0
-    for depths in PASSES:
-        counts = settle(vocabulary.select("counts", "sizes", "spelled").mapInArrow(_count(depths, frequent), "depth int, context long, suffix long, next int, n long")
-                        .groupBy("depth", "context", "suffix", "next").agg(F.sum("n").alias("n")))
-        if depths[0] == 0:
-            least = LEAST * float(counts.where("depth = 0").agg(F.sum("n")).first()[0] or 0)
-        often = counts.groupBy("depth", "context").agg(F.sum("n").alias("total")).where(F.col("total") >= least).select("depth", "context")
-        kept = counts.join(often, ["depth", "context"]).select("depth", "context", "suffix", "next", "n").toArrow()  # 1 / LEAST contexts a depth at most
-        discard(counts)
-        depth, contexts, suffixes, following, n = (kept.column(c).to_numpy() for c in ("depth", "context", "suffix", "next", "n"))
-        for d in depths:
-            at = depth == d
-            levels.append(_level(contexts[at].view(np.uint64), suffixes[at].view(np.uint64), following[at].astype(np.int64), n[at]))
-        frequent = levels[-1].contexts
-        if len(frequent) == 0:
+def _rows(rows: list[tuple]) -> pa.Table:
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(zip(("kind", "batch", "bucket", "keys", "data"), kinds))})
+
+
+def _put(value: object) -> bytes:
+    raw = pickle.dumps(value, 5)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _get(data: bytes) -> object:
+    return pickle.loads(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True))
+
+
+def _join(context: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Hash of a context with one more token, which is the context of the next position."""
+    return W.mix(W.mix(context) * _STEP + token)
+
+
+def _first_round(batch: int, token: np.ndarray, p: np.ndarray, total: np.ndarray, unit: np.ndarray, weights: np.ndarray, buckets: int, meta: object = None) -> pa.Table:
+    """State of a batch before depth 1: every position of its units after their starts, each unit's start before them.
+
+    ``token`` includes the starts (``p`` is nan there); ``total`` says how often each token stands in training."""
+    return _next_round(batch, {"meta": meta, "weights": weights, "done": np.zeros(len(weights))}, _join(np.zeros(len(token), np.uint64), token), token, p, total, unit, np.arange(len(token)), buckets)
+
+
+def _next_round(batch: int, state: dict, pair: np.ndarray, token: np.ndarray, p: np.ndarray, count: np.ndarray, unit: np.ndarray, place: np.ndarray, buckets: int) -> pa.Table:
+    """The state of a batch and what it sends: positions whose longer context stands often enough stay, the others are done."""
+    live = np.zeros(len(pair), bool)
+    live[1:] = (place[1:] == place[:-1] + 1) & (unit[1:] == unit[:-1]) & (count[:-1] >= LEAST)
+    over = ~live & ~np.isnan(p)
+    state["done"] = state["done"] + np.bincount(unit[over], np.log10(np.maximum(p[over], 1e-300)), minlength=len(state["done"]))
+    at = np.flatnonzero(live)
+    context, token, p, unit = pair[at - 1], token[at], p[at], unit[at]
+    rows = [(STATE, batch, None, None, _put(state | {"context": context, "token": token, "p": p, "total": count[at - 1], "unit": unit.astype(np.uint32), "place": place[at].astype(np.uint32)}))]
+    keys, first, which = np.unique(_join(context, token), return_index=True, return_inverse=True)
+    n = np.bincount(which, state["weights"][unit], minlength=len(keys)).astype(np.int64)
+    suffix = np.log(np.maximum(p[first], 1e-300)).astype(np.float32)
+    order, bounds = B.split(keys, buckets)
+    for b in np.flatnonzero(np.diff(bounds)):
+        cut = order[bounds[b]:bounds[b + 1]]
+        rows.append((PAIRS, batch, b, B.pack(keys[cut]), pickle.dumps((context[first[cut]], n[cut].astype(np.uint32) if n.max() < 1 << 32 else n[cut], suffix[cut]), 5)))
+    names = np.unique(context)
+    order, bounds = B.split(names, buckets)
+    rows += [(CONTEXTS, batch, b, B.pack(names[order[bounds[b]:bounds[b + 1]]]), None) for b in np.flatnonzero(np.diff(bounds))]
+    return _rows(rows)
+
+
+def _pair_bucket(buckets: int):
+    """Counts of (context, next) back to the batches; successors and gain of each context on to the context's bucket."""
+    def run(table: pa.Table) -> pa.Table:
+        packed, data = B.binaries(table, "keys"), [pickle.loads(x) for x in B.binaries(table, "data")]
+        order, starts, entry = B.same_keys(np.concatenate([B.unpack(k) for k in packed]))
+        pair = np.empty(len(order), np.int64)
+        pair[order] = entry
+        context, n, suffix = (np.concatenate([x[k] for x in data]) for k in range(3))
+        count = np.add.reduceat(n.astype(np.int64)[order], starts)
+        cuts = np.cumsum([0, *(len(k) // B.KEY_BYTES for k in packed)])
+        rows = [(COUNTS, batch, bucket, None, count[pair[a:z]].tobytes()) for batch, bucket, a, z in zip(table.column("batch").to_pylist(), table.column("bucket").to_pylist(), cuts, cuts[1:])]
+        seen = np.flatnonzero(count > 0)
+        one, count = order[starts[seen]], count[seen].astype(np.float64)
+        names, which = np.unique(context[one], return_inverse=True)
+        total, kinds = np.bincount(which, count, minlength=len(names)), np.bincount(which, minlength=len(names))
+        gain = np.bincount(which, count * (np.log(count) - suffix[one]), minlength=len(names))
+        order, bounds = B.split(names, buckets)
+        for b in np.flatnonzero(np.diff(bounds)):
+            cut = order[bounds[b]:bounds[b + 1]]
+            rows.append((SHARES, None, b, B.pack(names[cut]), pickle.dumps((total[cut], kinds[cut], gain[cut]), 5)))
+        return _rows(rows)
+    return run
+
+
+def _context_bucket(table: pa.Table) -> pa.Table:
+    """Successor kinds of each asked context, 0 if it fails the divergence test."""
+    asks = table.filter(pc.equal(table.column("kind"), CONTEXTS))
+    tells = table.filter(pc.equal(table.column("kind"), SHARES))
+    names = np.zeros(0, np.uint64)
+    kinds = np.zeros(0, np.int64)
+    if len(tells):
+        names, which = np.unique(np.concatenate([B.unpack(k) for k in B.binaries(tells, "keys")]), return_inverse=True)
+        total, kinds, gain = (np.bincount(which, np.concatenate(x), minlength=len(names)) for x in zip(*(pickle.loads(x) for x in B.binaries(tells, "data"))))
+        kinds = np.where(gain - total * np.log(total) >= GAIN, kinds, 0).astype(np.int64)
+    rows = []
+    for batch, bucket, keys in zip(asks.column("batch").to_pylist(), asks.column("bucket").to_pylist(), B.binaries(asks, "keys")):
+        at = member(names, B.unpack(keys))
+        rows.append((KINDS, batch, bucket, None, (np.where(at >= 0, kinds[at], 0) if len(kinds) else np.zeros(len(at), np.int64)).tobytes()))
+    return _rows(rows)
+
+
+def _update(buckets: int):
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if len(table) == 0:
+            return _rows([])
+        state = _get(B.binaries(table, "data")[0])
+        context, token, p, total, unit, place = (state.pop(x) for x in ("context", "token", "p", "total", "unit", "place"))
+        pair = _join(context, token)
+        keys, which = np.unique(pair, return_inverse=True)
+        names, owner = np.unique(context, return_inverse=True)
+        found = {COUNTS: np.zeros(len(keys), np.int64), KINDS: np.zeros(len(names), np.int64)}
+        cuts = {COUNTS: B.split(keys, buckets), KINDS: B.split(names, buckets)}
+        for kind, b, data in zip(answers.column("kind").to_pylist(), answers.column("bucket").to_pylist(), B.binaries(answers, "data")):
+            order, bounds = cuts[kind]
+            found[kind][order[bounds[b]:bounds[b + 1]]] = np.frombuffer(data, np.int64)
+        n, kinds = found[COUNTS][which], found[KINDS][owner]
+        p = np.where(kinds > 0, (n + kinds * p) / np.maximum(total + kinds, 1), p)
+        return _next_round(table.column("batch")[0].as_py(), state, pair, token, p, n, unit.astype(np.int64), place.astype(np.int64), buckets)
+    return run
+
+
+def deepen(rows: DataFrame, depth: int, buckets: int) -> DataFrame:
+    """Rounds for contexts of 1 to ``depth`` tokens; returns the states (a row per batch).
+
+    ``rows`` is the settled output of ``_first_round``. Only contexts that stand often enough go on to the next round."""
+    for _ in range(depth):
+        pairs = rows.where(F.col("kind") == PAIRS)
+        if pairs.isEmpty():
             break
-    return levels
+        counted = settle(pairs.groupBy("bucket").applyInArrow(_pair_bucket(buckets), ROWS))
+        asked = rows.where(F.col("kind") == CONTEXTS).unionByName(counted.where(F.col("kind") == SHARES))
+        answers = counted.where(F.col("kind") == COUNTS).unionByName(asked.groupBy("bucket").applyInArrow(_context_bucket, ROWS))
+        after = settle(rows.where(F.col("kind") == STATE).groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_update(buckets), ROWS))
+        discard(rows, counted)
+        rows = after
+    return rows.where(F.col("kind") == STATE)
+
+
+def _scores(table: pa.Table) -> tuple[np.ndarray, object]:
+    """(log10 probability of each unit, what came with them) of a state: positions still open are done as they are."""
+    state = _get(B.binaries(table, "data")[0])
+    return state["done"] + np.bincount(state["unit"], np.log10(np.maximum(state["p"], 1e-300)), minlength=len(state["done"])), state["meta"]
+
+
+def _open_spelling(root: np.ndarray, words: int, buckets: int):
+    """Distinct words of a bucket as units of symbols."""
+    names = W.mix(_VALUES)
+    total = np.r_[root[:START], words, root[STOP]].astype(np.int64)
+    p = (root + 1) / (root.sum() + SYMBOLS)
+
+    def run(table: pa.Table) -> pa.Table:
+        _, _, count, data, sizes = _bucket(table)
+        sym, word, place = symbols(data, sizes)
+        return _first_round(table.column("bucket")[0].as_py(), names[sym], np.where(place > 0, p[sym], np.nan), total[sym], word, count, buckets)
+    return run
 
 
 def held_out() -> Column:
@@ -264,46 +356,60 @@ def held_out() -> Column:
 
 def score_texts(docs: DataFrame) -> DataFrame:
     """``docs`` has ``doc_id, text, held_out``; returns the scores of every row, learned from those not held out."""
-    spark = B.prepare(docs.sparkSession)
+    B.prepare(docs.sparkSession).conf.set("spark.sql.parquet.columnarReaderBatchSize", "8")  # rows hold a batch each
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("held_out"))
-    parts = B.batch_count(rows)
+    parts = 2 * B.batch_count(rows)  # a position needs several arrays
     by_batch = B.with_batch(rows, parts, F.struct("doc_id", F.length("text"))).groupBy("batch")
     sent = settle(by_batch.applyInArrow(_send(parts), "batch int, bucket int, keys binary, times binary, sizes binary, spelled binary"))
-    vocabulary = settle(sent.groupBy("bucket").applyInArrow(_vocabulary, "words long, total long, counts binary, sizes binary, spelled binary"))
+    vocabulary = settle(sent.groupBy("bucket").applyInArrow(_vocabulary, "words long, total long, symbols array<double>"))
     texts = rows.where(~F.col("held_out")).count()
-    known = vocabulary.agg(F.sum("words").alias("words"), F.sum("total").alias("total")).first()
+    known = vocabulary.agg(F.sum("words").alias("words"), F.sum("total").alias("total"), *[F.sum(F.col("symbols")[k]).alias(f"s{k}") for k in range(SYMBOLS + 1)]).first()
+    discard(vocabulary)
     tokens, kinds = (known["total"] or 0) + texts, (known["words"] or 0) + (texts > 0)
-    model = spark.sparkContext.broadcast(prune(grow(vocabulary)))
+    root, words, distinct = np.array([known[f"s{k}"] or 0.0 for k in range(SYMBOLS + 1)]), tokens - texts, max(known["words"] or 0, 1)
+    spelled = deepen(settle(sent.groupBy("bucket").applyInArrow(_open_spelling(root, words, parts), ROWS)), DEPTH, parts)
     floor = float(np.log10(tokens + kinds + 1))
-    log_end, log_word = (float(np.log10(x / (tokens + 2))) for x in (texts + 1, tokens - texts + 1))
+    end_p, word_p = ((x / (tokens + 2)) for x in (texts + 1, tokens - texts + 1))
+    start_key, end_key = W.mix(_VALUES[[START, STOP]] * _STEP)
 
-    def answer(table: pa.Table) -> pa.Table:
-        entries, word, count, data, sizes = _bucket(table)
-        log_p = spell(model.value, data, sizes)[word]
-        count = count[word]
+    def answer(table: pa.Table, spellings: pa.Table) -> pa.Table:
+        if len(table) == 0:
+            return _rows([])
+        entries, word, count, _, _ = _bucket(table)
+        log_p, count = _scores(spellings)[0][word], count[word]
         cuts = np.cumsum([0, *entries])
-        return pa.table({"batch": table.column("batch"), "bucket": table.column("bucket"), "counts": pa.array([count[a:z].tobytes() for a, z in zip(cuts, cuts[1:])], pa.binary()),
-                         "spelling": pa.array([log_p[a:z].tobytes() for a, z in zip(cuts, cuts[1:])], pa.binary())})
+        return _rows([(COUNTS, batch, bucket, count[a:z].tobytes(), log_p[a:z].tobytes()) for batch, bucket, a, z in zip(table.column("batch").to_pylist(), table.column("bucket").to_pylist(), cuts, cuts[1:])])
 
-    def total(table: pa.Table, answers: pa.Table) -> pa.Table:
+    def begin(table: pa.Table, answers: pa.Table) -> pa.Table:
         if len(table) == 0:
-            return pa.table({n: pa.array([], t) for n, t in zip(("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"), (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))})
+            return _rows([])
+        batch = table.column("batch")[0].as_py()
         table, counts, which, keys, *_ = _batch_words(table)
         order, bounds = B.split(keys, parts)
         count, log_p = np.zeros(len(keys), np.int64), np.zeros(len(keys))
-        for b, c, s in zip(answers.column("bucket").to_pylist(), B.binaries(answers, "counts"), B.binaries(answers, "spelling")):
+        for b, c, s in zip(answers.column("bucket").to_pylist(), B.binaries(answers, "keys"), B.binaries(answers, "data")):
             at = order[bounds[b]:bounds[b + 1]]
             count[at], log_p[at] = np.frombuffer(c, np.int64), np.frombuffer(s)
         text, n = W.owners(counts), len(counts)
         base = np.bincount(text, np.log10(count + 1.0)[which], minlength=n) + np.log10(texts + 1.0) - (counts + 1) * floor
-        words, distinct = tokens - texts, max(known["words"] or 0, 1)
-        whole = np.log10((count + distinct * 10.0**log_p) / (words + distinct))
-        score = np.bincount(text, (np.maximum(whole, -300.0) + log_word)[which], minlength=n) + log_end
         known_words = np.bincount(text, (count > 0)[which], minlength=n).astype(np.int64) + (texts > 0)
-        return pa.table({"doc_id": table.column("doc_id"), "held_out": table.column("held_out"), "n_tokens": pa.array(counts + 1), "n_known": pa.array(known_words),
-                         "train_tokens": pa.array(np.full(n, tokens, np.int64)), "base_score": pa.array(base), "score": pa.array(score)})
-    answers = sent.groupBy("bucket").applyInArrow(answer, "batch int, bucket int, counts binary, spelling binary")
-    return by_batch.cogroup(answers.groupBy("batch")).applyInArrow(total, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        meta = (table.column("doc_id").to_pylist(), table.column("held_out").to_pylist(), counts + 1, known_words, base)
+        ends = np.cumsum(counts + 2)
+        token, p, total = np.full(int(ends[-1]), end_key), np.full(int(ends[-1]), end_p), np.full(int(ends[-1]), texts, np.int64)
+        starts, inner = ends - counts - 2, np.ones(int(ends[-1]), bool)
+        inner[starts] = inner[ends - 1] = False
+        token[starts], p[starts] = start_key, np.nan
+        whole = (count + distinct * 10.0**log_p) / (words + distinct)
+        token[inner], p[inner], total[inner] = keys[which], (whole * word_p)[which], count[which]
+        return _first_round(batch, token, p, total, W.owners(counts + 2), (~table.column("held_out").to_numpy()).astype(np.int64), parts, meta)
+
+    def finish(table: pa.Table) -> pa.Table:
+        score, (ids, held, n_tokens, n_known, base) = _scores(table)
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(held, pa.bool_()), "n_tokens": pa.array(n_tokens), "n_known": pa.array(n_known),
+                         "train_tokens": pa.array(np.full(len(score), tokens, np.int64)), "base_score": pa.array(base), "score": pa.array(score)})
+    answers = sent.groupBy("bucket").cogroup(spelled.groupBy("batch")).applyInArrow(answer, ROWS)
+    running = deepen(settle(by_batch.cogroup(answers.groupBy("batch")).applyInArrow(begin, ROWS)), ORDER, parts)
+    return running.groupBy("batch").applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op8_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
