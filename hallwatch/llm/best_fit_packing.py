@@ -2,8 +2,9 @@
 
 Pieces are packed in groups of about ``GROUP`` (by a hash, so a group is a random share of the corpus and no task holds
 more). Inside a group the longest piece goes first, into the open bin it fits most tightly. If none fits, the bin size
-is opened whose cost per token is least when the pieces still to come fill it as far as they can; at the end every bin
-shrinks to the smallest permitted length that holds its contents. The cost of a sequence of ``c`` tokens is
+is opened whose cost per token placed is least after a trial fill with the pieces still to come (the longest that fits,
+again and again, so what cannot be filled counts as padding). Pieces may later fit another bin more tightly; at the end
+every bin shrinks to the smallest permitted length that holds its contents. The cost of a sequence of ``c`` tokens is
 ``c * (1 + c / ATTENTION)`` plus a constant ``START``.
 
 Texts longer than the longest sequence become pieces of that length and a rest; no token is lost. Defined results: a
@@ -12,7 +13,8 @@ text without words is one row of length 0 without a bin; null and repeated ids a
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -32,22 +34,39 @@ def cost(capacity: int) -> float:
 
 
 def pack_group(pieces: Sequence[int], lengths: Sequence[int] = LENGTHS) -> tuple[list[int], list[int], list[int]]:
-    """(bin of each piece, its offset there, length of each bin); ``pieces`` descend."""
-    lengths, left = sorted(lengths), sum(pieces)
+    """(bin of each piece, its offset there, length of each bin); ``pieces`` descend.
+
+    A trial fill can be wrong where other bins take the pieces, so the plan with smallest bins is kept if it costs less."""
+    return min((_plan(pieces, lengths, trial) for trial in (True, False)), key=lambda plan: sum(map(cost, plan[2])))
+
+
+def _plan(pieces: Sequence[int], lengths: Sequence[int], trial: bool) -> tuple[list[int], list[int], list[int]]:
+    lengths = sorted(lengths)
+    sizes = sorted(set(pieces))
+    rest = Counter(pieces)  # pieces still to come
+
+    def fill(free: int) -> int:
+        """Tokens that the pieces still to come can put into ``free``."""
+        space, at = free, bisect_right(sizes, free) - 1
+        while at >= 0:
+            space -= sizes[at] * min(rest[sizes[at]], space // sizes[at])
+            at = min(at, bisect_right(sizes, space)) - 1
+        return free - space
+
     spare: list[tuple[int, int]] = []  # (free tokens, bin), ascending
     bins, offsets, used = [], [], []
     for size in pieces:
+        rest[size] -= 1
         at = bisect_left(spare, (size, -1))
         if at < len(spare):
             free, number = spare.pop(at)
         else:
-            free = min((c for c in lengths if c >= size), key=lambda c: (cost(c) / min(c, left), c))
+            free = min((c for c in lengths if c >= size), key=lambda c: (cost(c) / (size + fill(c - size)) if trial else c, c))
             number = len(used)
             used.append(0)
         bins.append(number)
         offsets.append(used[number])
         used[number] += size
-        left -= size
         if free > size:
             insort(spare, (free - size, number))
     return bins, offsets, [lengths[bisect_left(lengths, u)] for u in used]
