@@ -1,8 +1,8 @@
 """License scans: an exact set-similarity join of text blocks with notice templates.
 
-A template of ``L`` words is compared with every block of ``2 L`` words that starts at a multiple of ``L`` (so any run of
-up to ``L`` words lies whole in one block). A block matches if it holds at least ``threshold`` of the template's distinct
-words. The join orders template words by their frequency in all texts, rarest first, and uses three filters that lose
+A template of ``L`` words is compared with every block of ``2 L`` words that starts with a template word (any other block
+holds no more than the one that starts at its first template word, so no position is lost). A block matches if it holds
+at least ``threshold`` of the template's distinct words. The join orders template words by their frequency in all texts, rarest first, and uses three filters that lose
 nothing: a matching block holds one of the first ``size - need + 1`` words (prefix), it holds ``need`` template words at
 all (length), and what stands after the first shared word in both orders must suffice (positional). Only blocks that
 pass are compared. Templates are parameters, so their broadcast is bounded; texts are never shuffled.
@@ -76,16 +76,20 @@ class Templates:
             rank[ranked] = np.arange(len(ranked))
             early = np.zeros(len(self.known), bool)
             early[ranked[:len(ranked) - need + 1]] = True
-            hit = np.flatnonzero(early[codes])
-            block = (place[hit] - begins[text[hit]]) // length
-            pairs = np.unique(np.stack([np.r_[text[hit], text[hit]], np.r_[block, block - 1]], 1), axis=0)
-            for d, b in pairs[pairs[:, 1] >= 0]:
-                first, end = begins[d] + b * length, min(begins[d] + (b + 2) * length, begins[d] + counts[d])
-                lo, hi = np.searchsorted(place, (first, end))
-                held = np.unique(rank[codes[lo:hi][inside[codes[lo:hi]]]])  # template words of the block, rare to frequent
+            mine = np.flatnonzero(inside[codes])
+            if len(mine) < need:
+                continue
+            at, held_by, ranks = place[mine], text[mine], rank[codes[mine]]
+            ends = np.minimum(at + 2 * length, (begins + counts)[held_by])
+            upto = np.searchsorted(at, ends)  # each block holds the template words from its own to this one
+            rare = np.r_[0, np.cumsum(early[codes[mine]])]
+            blocks = np.flatnonzero((upto - np.arange(len(mine)) >= need) & (rare[upto] > rare[:-1]))
+            for k in blocks:
+                held = np.unique(ranks[k:upto[k]])  # template words of the block, rare to frequent
                 if len(held) < need or 1 + min(len(ranked) - held[0] - 1, len(held) - 1) < need:
                     continue
-                out.append((int(d), t, int(first - begins[d]), int(end - begins[d]), len(held) / len(ranked)))
+                d = held_by[k]
+                out.append((int(d), t, int(at[k] - begins[d]), int(ends[k] - begins[d]), len(held) / len(ranked)))
         return out
 
 
