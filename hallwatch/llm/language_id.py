@@ -7,6 +7,8 @@ a gram sets its languages' bits in ``HASHES`` slots, and the AND of these slots
 
 A text's grams are looked up, counted per language and corrected for that language's false positives (the share of its
 bits that are set, to the power of the number of hashes). The largest corrected count decides; the score is its share.
+How far it can be trusted does not depend on the number of languages: ``held`` is the largest count as a share of all
+grams of the text, ``margin`` what it is ahead of the second language, as a share of them too.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter, or if nothing was learned; equal counts go
 to the alphabetically first language; a text with letters but no known gram gets the most frequent language, score 0.
@@ -116,37 +118,42 @@ def learn(labelled: DataFrame) -> Filter:
     return out
 
 
-def _judge(own: Filter, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the language, score) of each text; the number after the last language is ``und``."""
+def _judge(own: Filter, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the language, score, held, margin) of each text; the number after the last language is ``und``."""
     data, offsets = W.text_bytes(column)
-    pick, score = [np.zeros(0, int)], [np.zeros(0)]
+    pick, score, held, margin = [np.zeros(0, int)], [np.zeros(0)], [np.zeros(0)], [np.zeros(0)]
     for i, j in W.chunks(offsets):
         piece, cuts = data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
-        counts = own.count(*grams(piece, cuts), j - i)
+        gram, text = grams(piece, cuts)
+        counts, all_grams = own.count(gram, text, j - i), np.maximum(np.bincount(text, minlength=j - i), 1)
         letters = np.r_[0, np.cumsum((_LETTERS[piece] != 32) & (piece < 128))]
         lettered = letters[cuts[1:]] - letters[cuts[:-1]] > 0
         for k in np.flatnonzero(~lettered):
             lettered[k] = any(c.isalpha() for c in piece[cuts[k]:cuts[k + 1]].tobytes().decode("utf-8", "replace"))
         if not own.languages:
             pick.append(np.zeros(j - i, int))
-            score.append(np.zeros(j - i))
+            for x in (score, held, margin):
+                x.append(np.zeros(j - i))
             continue
         total = counts.sum(1)
         best = np.where(total > 0, counts.argmax(1), own.languages.index(own.usual))
         pick.append(np.where(lettered, best, len(own.languages)))
         score.append(np.where(lettered & (total > 0), counts.max(1) / np.where(total > 0, total, 1), 0.0))
-    return np.concatenate(pick), np.concatenate(score)
+        ranked = np.sort(np.c_[np.zeros(j - i), counts], 1)
+        held.append(np.where(lettered, ranked[:, -1] / all_grams, 0.0))
+        margin.append(np.where(lettered, (ranked[:, -1] - ranked[:, -2]) / all_grams, 0.0))
+    return np.concatenate(pick), np.concatenate(score), np.concatenate(held), np.concatenate(margin)
 
 
 def language(model: Filter, text: Column) -> Column:
-    """``struct<lang_pred, score>`` of a text column."""
+    """``struct<lang_pred, score, held, margin>`` of a text column."""
     shared = SparkSession.active().sparkContext.broadcast(model)  # languages / LEAST grams at most
 
-    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    @F.arrow_udf("struct<lang_pred:string,score:double,held:double,margin:double>")
     def judged(column: pa.Array) -> pa.Array:
-        at, score = _judge(shared.value, column)
+        at, *shares = _judge(shared.value, column)
         names = np.array([*shared.value.languages, UNKNOWN], object)
-        return pa.StructArray.from_arrays([pa.array(names[at], pa.string()), pa.array(score)], names=["lang_pred", "score"])
+        return pa.StructArray.from_arrays([pa.array(names[at], pa.string()), *map(pa.array, shares)], names=["lang_pred", "score", "held", "margin"])
     return judged(text)
 
 
