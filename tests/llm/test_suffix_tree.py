@@ -77,3 +77,9 @@ def test_word_contexts(spark, documents):
     held = spark.createDataFrame([(i, t, i >= 100) for i, t in rows], "doc_id long, text string, held_out boolean")
     got = {r.doc_id: r.score for r in lm.score_texts(held).collect()}
     assert got[100] > got[101] + 3
+
+
+def test_rare_contexts_of_a_large_corpus(spark):
+    """A context needs so many occurrences, not a share of all symbols."""
+    rows = [(k, "aa " * 100_000) for k in range(9)] + [(k, "qxz qxz") for k in range(20, 24)] + [(5000, "qxzz qx zx"), (5001, "xqzz xz qz")]
+    agree(lm.score_texts(spark.createDataFrame([(i, t, brute.crc(i, 7)) for i, t in rows], "doc_id long, text string, held_out boolean")), rows)
