@@ -18,6 +18,5 @@ QUERIES = {
 }
 
 SQL = {
-    "op8_lm_scoring": suffix_tree_lm.op8_lm_scoring,
     "op9_chat_formatting": chat_examples.OP9_SQL,
 }
