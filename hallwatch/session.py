@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "20000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),  # texts and vectors make wide rows
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",  # operators that work in rounds leave no shuffle files behind
 }
 
 
