@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hallwatch.llm import best_fit_packing, language_id, ngram_join, quality_rules, substring_dedup
-from hallwatch.llm.batches import prepare
 from hallwatch.operators.state_tables import settle
 
 #: Shares of all grams of a text, whatever the number of languages: those its language contains, and the lead over the second.
@@ -57,7 +56,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
