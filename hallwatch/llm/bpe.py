@@ -26,7 +26,6 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hallwatch.llm import batches as B
 
 END = "</w>"
 CACHE_WORDS, CACHE_LENGTH = 400_000, 64
@@ -216,7 +215,6 @@ def codec(path: str) -> Codec:
 
 def encode_texts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, ids`` (little-endian unsigned 32-bit numbers, packed), ``decoded``."""
-    B.prepare(docs.sparkSession)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)

@@ -370,7 +370,6 @@ def set_links(docs: DataFrame, n: int = N, percent: int = PERCENT, doc_id: str =
 
 def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, set_key`` per row; ``component_id`` is the smallest id reachable by links."""
-    B.prepare(docs.sparkSession)
     rows = settle(set_classes(docs, n, doc_id, text))
     links = components(set_links(docs, n, percent, doc_id, text)).withColumnsRenamed({"node": "set_key"})
     classes = rows.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("least")).join(links, "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))

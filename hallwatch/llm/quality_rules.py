@@ -216,7 +216,6 @@ def references(rows: DataFrame, before: References | None = None) -> References
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[np.ndarray, References | None, DataFrame]:
     """(common words, references, feature rows of all texts)."""
-    B.prepare(docs.sparkSession)
     known = common_words(docs, text, lang)
     rows = settle(features(docs, known, doc_id, text, lang))
     refs = references(rows)

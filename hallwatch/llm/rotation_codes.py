@@ -146,7 +146,7 @@ def _compare(bits: int, tables: int, cosine: float, kind: str):
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """``vec_id, n_links, component_id, kept`` per row."""
-    spark = B.prepare(vectors.sparkSession)
+    spark = vectors.sparkSession
     kind = "<f4" if "float" in vectors.schema[embedding].dataType.simpleString() else "<f8"
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<float>" if kind == "<f4" else "array<double>").alias("embedding"))
     sound = F.size("embedding") > 0

@@ -137,7 +137,6 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id",
     stays as it is), ``removed`` (word intervals, end exclusive), ``carried``.
 
     Texts are shuffled once into batches; the same exchange serves both passes."""
-    B.prepare(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"),
                        F.struct(*[F.col(c) for c in carry] or [F.lit(None).cast("boolean").alias("none")]).alias("carried"))
     batches = B.batch_count(rows)

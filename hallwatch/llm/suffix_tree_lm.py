@@ -1,43 +1,45 @@
 """LM scoring with a probabilistic suffix tree over the running words of texts.
 
 A text is a sequence of word tokens between a start and an end mark. The next token depends on the longest retained
-context: up to ``ORDER`` preceding tokens of the text, the start mark among them. A context is counted if it stands at
-least ``LEAST`` times in the training texts, whatever their size, and is retained if its next-token distribution differs
-from that of its nearest retained suffix by a log-likelihood gain of ``GAIN`` nats over its occurrences. Distributions
-are interpolated towards that suffix with one pseudo count per kind of successor (Witten-Bell). At the root a word has
-its own count, interpolated in the same way with the probability of its spelling: a second tree of the same form over
-the bytes of words (contexts of up to ``DEPTH`` symbols; add-one at its root), which is all that an unseen word has.
-
-All counts are exact over all training texts, and both trees stay in buckets (``deepen``), a round per depth. A batch
-keeps the positions whose context stands often enough, with their probability so far, and sends every distinct
-(context, next) once to a pair bucket; pair buckets answer with counts and send each context's share of its successors
-and its gain to the context's bucket, which applies the test and answers. So neither a context nor a pair that stands
-in every text costs more than an entry per batch, and nothing of either tree passes through the driver but the counts
-of the 259 byte symbols.
-
-Defined results: a null text is empty, its only token is the end; rows with a null id belong to the training part.
+context: up to ``ORDER`` preceding tokens of the text, the start mark among them (``context_tree``). Without a context a
+word has its own count, interpolated by one pseudo count per distinct word with the probability of its spelling: a
+second tree of the same form over the bytes of distinct words, weighted by their counts (contexts of up to ``DEPTH``
+symbols; add-one at its root), which is all that an unseen word has. So the score is a true probability of any text.
+
+All counts are exact over all training texts. Texts are dealt once into batches, which become cells of the word tree; the
+distinct words of a batch meet in vocabulary buckets, which become cells of the spelling tree and answer with each
+word's number, count and probability. The driver sees the counts of the 259 symbols and a few totals.
+
+Defined results: a null text is empty, its only token is the end; rows with a null id belong to the training part and are
+dealt by their place in the input, so a third of all rows on one null id or one text still spreads.
 """
 
 from __future__ import annotations
 
-import pickle
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hallwatch.llm import batches as B, words as W
+from hallwatch.llm.context_tree import CELLS, expand, score_units, squeeze
 from hallwatch.operators.state_tables import discard, settle
 
-DEPTH, ORDER, LEAST, GAIN = 8, 4, 4, 4.0
+DEPTH, ORDER = 8, 4
 START, STOP, SYMBOLS = 257, 258, 258  # a byte is 1 to 256
-STATE, PAIRS, CONTEXTS, COUNTS, SHARES, KINDS = range(6)  # rows of the rounds
-ROWS = "kind int, batch int, bucket int, keys binary, data binary"
+FIRST_WORD = 3  # ids of the word tree: 1 starts a text, 2 ends it
+
+#: a batch (``tokens``: number of the distinct word at each place, in the order of vocabulary buckets) or what it sends to one
+_SENT = "batch int, bucket int, tokens binary, counts binary, sizes binary, doc_id array<bigint>, held_out array<boolean>, keys binary, times binary, stands binary, lengths binary, spelled binary"
+_ANSWER = "batch int, bucket int, numbers binary, times binary, stands binary, logs binary"
+
+
+def _row(schema: pa.Schema, found: list[dict]) -> pa.Table:
+    return pa.Table.from_pylist(found, schema)
 
-_VALUES = np.random.RandomState(20240701).randint(0, 2**63, SYMBOLS + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_STEP = np.uint64(0xA0761D6478BD642F)
+
+_SENT_TYPES = pa.schema([("batch", pa.int32()), ("bucket", pa.int32()), ("tokens", pa.binary()), ("counts", pa.binary()), ("sizes", pa.binary()), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())),
+                         *((c, pa.binary()) for c in ("keys", "times", "stands", "lengths", "spelled"))])
+_ANSWER_TYPES = pa.schema([("batch", pa.int32()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("numbers", "times", "stands", "logs"))])
 
 
 def _gather(data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -47,62 +49,47 @@ def _gather(data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarra
     return data[index]
 
 
-def _batch_words(table: pa.Table):
-    """(ordered table, words per text, distinct word of each word, keys, bytes and sizes of distinct words)."""
-    table = B.in_order(table, "doc_id", "text")
-    data, offsets = W.text_bytes(table.column("text"))
-    data = W.LOWER[data]
-    hashes, counts, starts, sizes = [], [], [], []
-    for i, j in W.chunks(offsets):
-        part = data[offsets[i]:offsets[j]]
-        a, z, n = W.spans(part, offsets[i:j + 1] - offsets[i])
-        hashes.append(W.hash_spans(part, a, z))
-        counts.append(n)
-        starts.append(a + offsets[i])
-        sizes.append(z - a)
-    if not hashes:
-        hashes = counts = starts = sizes = [np.zeros(0, np.int64)]
-    keys, first, which = np.unique(np.concatenate(hashes).astype(np.uint64), return_index=True, return_inverse=True)
-    starts, sizes = np.concatenate(starts)[first], np.concatenate(sizes)[first]
-    return table, np.concatenate(counts), which, keys, data, starts, sizes
-
-
 def _send(buckets: int):
+    """A batch as numbers of its distinct words, and these words to their buckets."""
     def send(table: pa.Table) -> pa.Table:
         batch = table.column("batch")[0].as_py()
-        table, counts, which, keys, data, starts, sizes = _batch_words(table)
-        train = np.repeat(~table.column("held_out").to_numpy(), counts)
-        times = np.bincount(which[train], minlength=len(keys))
+        table = B.in_order(table, "doc_id", "text")
+        data, offsets = W.text_bytes(table.column("text"))
+        data = W.LOWER[data]
+        hashes, counts, starts, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, j in W.chunks(offsets):
+            part = data[offsets[i]:offsets[j]]
+            a, z, n = W.spans(part, offsets[i:j + 1] - offsets[i])
+            hashes.append(W.hash_spans(part, a, z))
+            counts.append(n)
+            starts.append(a + offsets[i])
+            sizes.append(z - a)
+        keys, first, which = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+        counts, starts, sizes = np.concatenate(counts), np.concatenate(starts)[first], np.concatenate(sizes)[first]
+        held = table.column("held_out").to_numpy()
+        stands = np.bincount(which, minlength=len(keys)).astype(np.int64)
+        times = np.bincount(which[np.repeat(~held, counts)], minlength=len(keys)).astype(np.int64)
         order, bounds = B.split(keys, buckets)
-        at = np.flatnonzero(np.diff(bounds))
-        cut = [order[bounds[b]:bounds[b + 1]] for b in at]
-        return pa.table({"batch": pa.array([batch] * len(at), pa.int32()), "bucket": pa.array(at, pa.int32()),
-                         "keys": pa.array([B.pack(keys[c]) for c in cut], pa.binary()), "times": pa.array([times[c].astype(np.uint32).tobytes() for c in cut], pa.binary()),
-                         "sizes": pa.array([sizes[c].astype(np.uint32).tobytes() for c in cut], pa.binary()), "spelled": pa.array([_gather(data, starts[c], sizes[c]).tobytes() for c in cut], pa.binary())})
+        place = np.empty(len(keys), np.int64)
+        place[order] = np.arange(len(keys))
+        out = [{"batch": batch, "tokens": squeeze(place[which]), "counts": squeeze(counts), "sizes": squeeze(np.diff(bounds)), "doc_id": table.column("doc_id").to_pylist(), "held_out": held.tolist()}]
+        for b in np.flatnonzero(np.diff(bounds)):
+            cut = order[bounds[b]:bounds[b + 1]]
+            out.append({"batch": batch, "bucket": int(b), "keys": B.pack(keys[cut]), "times": squeeze(times[cut]), "stands": squeeze(stands[cut]), "lengths": squeeze(sizes[cut]), "spelled": squeeze(_gather(data, starts[cut], sizes[cut]))})
+        return _row(_SENT_TYPES, out)
     return send
 
 
 def _bucket(table: pa.Table):
-    """(entries per row, word of each entry, count, bytes and sizes of each word)."""
+    """(words each batch sent, word of each entry, counts in training and in all, bytes and sizes of each word)."""
     packed = B.binaries(table, "keys")
-    keys = np.concatenate([B.unpack(k) for k in packed])
-    times = np.concatenate([np.frombuffer(t, np.uint32) for t in B.binaries(table, "times")]).astype(np.int64)
-    sizes = np.concatenate([np.frombuffer(s, np.uint32) for s in B.binaries(table, "sizes")]).astype(np.int64)
-    data = np.frombuffer(b"".join(B.binaries(table, "spelled")), np.uint8)
-    order, starts, run = B.same_keys(keys)
-    word = np.empty(len(keys), np.int64)
+    times, stands, sizes, data = (np.concatenate([expand(x) for x in B.binaries(table, c)]) for c in ("times", "stands", "lengths", "spelled"))
+    order, starts, run = B.same_keys(np.concatenate([B.unpack(k) for k in packed]))
+    word = np.empty(len(order), np.int64)
     word[order] = run
     one = order[starts]
-    begins = np.cumsum(sizes) - sizes
-    return [len(k) // B.KEY_BYTES for k in packed], word, np.add.reduceat(times[order], starts), _gather(data, begins[one], sizes[one]), sizes[one]
-
-
-def _vocabulary(table: pa.Table) -> pa.Table:
-    _, _, count, data, sizes = _bucket(table)
-    sym, word, place = symbols(data, sizes)
-    use = place > 0
-    return pa.table({"words": pa.array([int((count > 0).sum())], pa.int64()), "total": pa.array([int(count.sum())], pa.int64()),
-                     "symbols": pa.array([np.bincount(sym[use], count[word[use]], minlength=SYMBOLS + 1).tolist()], pa.list_(pa.float64()))})
+    return ([len(k) // B.KEY_BYTES for k in packed], word, np.add.reduceat(times[order], starts), np.add.reduceat(stands[order], starts),
+            _gather(data.astype(np.uint8), np.cumsum(sizes)[one] - sizes[one], sizes[one]), sizes[one])
 
 
 def symbols(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,236 +105,17 @@ def symbols(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, word, place
 
 
-def context_keys(sym: np.ndarray, at: np.ndarray, depth: int, before: np.ndarray | None = None) -> np.ndarray:
-    """Hash of the ``depth`` symbols before each place; ``before`` is that of ``depth - 1``."""
-    key = np.zeros(len(at), np.uint64) if before is None else before
-    for k in range(1 if before is None else depth, depth + 1):
-        with np.errstate(over="ignore"):
-            key = key + W.mix(_VALUES[sym[at - k]] * _STEP + np.uint64(k))
-    return key
-
-
-def pair_keys(contexts: np.ndarray, following: np.ndarray) -> np.ndarray:
-    return W.mix(contexts + _VALUES[following] * np.uint64(0x8EBC6AF09C88C6E3))
-
-
-def member(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Place of each key, -1 where it is missing."""
-    if len(sorted_keys) == 0:
-        return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return np.where(sorted_keys[at] == keys, at, -1)
-
-
-@dataclass(frozen=True)
-class Level:
-    contexts: np.ndarray  # hashes, sorted
-    suffixes: np.ndarray
-    totals: np.ndarray
-    kinds: np.ndarray  # successors
-    pairs: np.ndarray  # hashes of context and next symbol, sorted
-    counts: np.ndarray
-    owner: np.ndarray  # context of each pair
-    following: np.ndarray
-
-
-def _level(contexts: np.ndarray, suffixes: np.ndarray, following: np.ndarray, counts: np.ndarray) -> Level:
-    names, first, owner = np.unique(contexts, return_index=True, return_inverse=True)
-    pairs = pair_keys(contexts, following)
-    order = np.argsort(pairs)
-    size = len(names)
-    return Level(names, suffixes[first], np.bincount(owner, counts, minlength=size), np.bincount(owner, minlength=size).astype(np.float64), pairs[order], counts[order].astype(np.float64), owner[order], following[order])
-
-
-def prune(levels: list[Level], gain: float = GAIN) -> list[Level]:
-    """Contexts that pass the divergence test, and the suffixes of those that do."""
-    wanted = [np.zeros(len(x.contexts), bool) for x in levels]
-    for depth in range(len(levels) - 1, 0, -1):
-        level, above = levels[depth], levels[depth - 1]
-        up = member(above.contexts, level.suffixes)
-        parent = member(above.pairs, pair_keys(level.suffixes[level.owner], level.following))
-        gains = level.counts * np.log((level.counts / level.totals[level.owner]) / (above.counts[parent] / above.totals[up[level.owner]]))
-        wanted[depth] |= np.bincount(level.owner, gains, minlength=len(level.contexts)) >= gain
-        wanted[depth - 1][up[wanted[depth]]] = True
-    out = [levels[0]]
-    for level, want in zip(levels[1:], wanted[1:]):
-        use = want[level.owner]
-        out.append(Level(level.contexts[want], level.suffixes[want], level.totals[want], level.kinds[want], level.pairs[use], level.counts[use], (np.cumsum(want) - 1)[level.owner[use]], level.following[use]))
-    return out
-
-
-def spell(levels: list[Level], data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """log10 probability of each word's spelling."""
-    out = np.zeros(len(sizes))
-    ends = np.r_[0, np.cumsum(sizes)]
-    root = np.ones(SYMBOLS + 1)
-    root[levels[0].following] += levels[0].counts
-    root /= levels[0].totals.sum() + SYMBOLS
-    for i, j in W.chunks(ends, 1 << 18):
-        sym, word, place = symbols(data[ends[i]:ends[j]], sizes[i:j])
-        at = np.flatnonzero(place > 0)
-        p = root[sym[at]]
-        live, keys = np.arange(len(at)), np.zeros(len(at), np.uint64)
-        for depth in range(1, len(levels)):
-            level = levels[depth]
-            far = place[at[live]] >= depth
-            live = live[far]
-            keys = context_keys(sym, at[live], depth, keys[far])
-            state = member(level.contexts, keys)
-            known = state >= 0
-            live, keys, state = live[known], keys[known], state[known]
-            if len(live) == 0:
-                break
-            seen = member(level.pairs, pair_keys(keys, sym[at[live]]))
-            n = np.where(seen >= 0, level.counts[seen], 0.0)
-            p[live] = (n + level.kinds[state] * p[live]) / (level.totals[state] + level.kinds[state])
-        out[i:j] = np.bincount(word[at], np.log10(p), minlength=j - i)
-    return out
-
-
-def _rows(rows: list[tuple]) -> pa.Table:
-    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-    return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(zip(("kind", "batch", "bucket", "keys", "data"), kinds))})
-
-
-def _put(value: object) -> bytes:
-    raw = pickle.dumps(value, 5)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def _get(data: bytes) -> object:
-    return pickle.loads(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True))
-
-
-def _join(context: np.ndarray, token: np.ndarray) -> np.ndarray:
-    """Hash of a context with one more token, which is the context of the next position."""
-    return W.mix(W.mix(context) * _STEP + token)
-
-
-def _first_round(batch: int, token: np.ndarray, p: np.ndarray, total: np.ndarray, unit: np.ndarray, weights: np.ndarray, buckets: int, meta: object = None) -> pa.Table:
-    """State of a batch before depth 1: every position of its units after their starts, each unit's start before them.
-
-    ``token`` includes the starts (``p`` is nan there); ``total`` says how often each token stands in training."""
-    return _next_round(batch, {"meta": meta, "weights": weights, "done": np.zeros(len(weights))}, _join(np.zeros(len(token), np.uint64), token), token, p, total, unit, np.arange(len(token)), buckets)
-
-
-def _next_round(batch: int, state: dict, pair: np.ndarray, token: np.ndarray, p: np.ndarray, count: np.ndarray, unit: np.ndarray, place: np.ndarray, buckets: int) -> pa.Table:
-    """The state of a batch and what it sends: positions whose longer context stands often enough stay, the others are done."""
-    live = np.zeros(len(pair), bool)
-    live[1:] = (place[1:] == place[:-1] + 1) & (unit[1:] == unit[:-1]) & (count[:-1] >= LEAST)
-    over = ~live & ~np.isnan(p)
-    state["done"] = state["done"] + np.bincount(unit[over], np.log10(np.maximum(p[over], 1e-300)), minlength=len(state["done"]))
-    at = np.flatnonzero(live)
-    context, token, p, unit = pair[at - 1], token[at], p[at], unit[at]
-    rows = [(STATE, batch, None, None, _put(state | {"context": context, "token": token, "p": p, "total": count[at - 1], "unit": unit.astype(np.uint32), "place": place[at].astype(np.uint32)}))]
-    keys, first, which = np.unique(_join(context, token), return_index=True, return_inverse=True)
-    n = np.bincount(which, state["weights"][unit], minlength=len(keys)).astype(np.int64)
-    suffix = np.log(np.maximum(p[first], 1e-300)).astype(np.float32)
-    order, bounds = B.split(keys, buckets)
-    for b in np.flatnonzero(np.diff(bounds)):
-        cut = order[bounds[b]:bounds[b + 1]]
-        rows.append((PAIRS, batch, b, B.pack(keys[cut]), pickle.dumps((context[first[cut]], n[cut].astype(np.uint32) if n.max() < 1 << 32 else n[cut], suffix[cut]), 5)))
-    names = np.unique(context)
-    order, bounds = B.split(names, buckets)
-    rows += [(CONTEXTS, batch, b, B.pack(names[order[bounds[b]:bounds[b + 1]]]), None) for b in np.flatnonzero(np.diff(bounds))]
-    return _rows(rows)
-
-
-def _pair_bucket(buckets: int):
-    """Counts of (context, next) back to the batches; successors and gain of each context on to the context's bucket."""
-    def run(table: pa.Table) -> pa.Table:
-        packed, data = B.binaries(table, "keys"), [pickle.loads(x) for x in B.binaries(table, "data")]
-        order, starts, entry = B.same_keys(np.concatenate([B.unpack(k) for k in packed]))
-        pair = np.empty(len(order), np.int64)
-        pair[order] = entry
-        context, n, suffix = (np.concatenate([x[k] for x in data]) for k in range(3))
-        count = np.add.reduceat(n.astype(np.int64)[order], starts)
-        cuts = np.cumsum([0, *(len(k) // B.KEY_BYTES for k in packed)])
-        rows = [(COUNTS, batch, bucket, None, count[pair[a:z]].tobytes()) for batch, bucket, a, z in zip(table.column("batch").to_pylist(), table.column("bucket").to_pylist(), cuts, cuts[1:])]
-        seen = np.flatnonzero(count > 0)
-        one, count = order[starts[seen]], count[seen].astype(np.float64)
-        names, which = np.unique(context[one], return_inverse=True)
-        total, kinds = np.bincount(which, count, minlength=len(names)), np.bincount(which, minlength=len(names))
-        gain = np.bincount(which, count * (np.log(count) - suffix[one]), minlength=len(names))
-        order, bounds = B.split(names, buckets)
-        for b in np.flatnonzero(np.diff(bounds)):
-            cut = order[bounds[b]:bounds[b + 1]]
-            rows.append((SHARES, None, b, B.pack(names[cut]), pickle.dumps((total[cut], kinds[cut], gain[cut]), 5)))
-        return _rows(rows)
-    return run
-
-
-def _context_bucket(table: pa.Table) -> pa.Table:
-    """Successor kinds of each asked context, 0 if it fails the divergence test."""
-    asks = table.filter(pc.equal(table.column("kind"), CONTEXTS))
-    tells = table.filter(pc.equal(table.column("kind"), SHARES))
-    names = np.zeros(0, np.uint64)
-    kinds = np.zeros(0, np.int64)
-    if len(tells):
-        names, which = np.unique(np.concatenate([B.unpack(k) for k in B.binaries(tells, "keys")]), return_inverse=True)
-        total, kinds, gain = (np.bincount(which, np.concatenate(x), minlength=len(names)) for x in zip(*(pickle.loads(x) for x in B.binaries(tells, "data"))))
-        kinds = np.where(gain - total * np.log(total) >= GAIN, kinds, 0).astype(np.int64)
-    rows = []
-    for batch, bucket, keys in zip(asks.column("batch").to_pylist(), asks.column("bucket").to_pylist(), B.binaries(asks, "keys")):
-        at = member(names, B.unpack(keys))
-        rows.append((KINDS, batch, bucket, None, (np.where(at >= 0, kinds[at], 0) if len(kinds) else np.zeros(len(at), np.int64)).tobytes()))
-    return _rows(rows)
-
-
-def _update(buckets: int):
-    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        if len(table) == 0:
-            return _rows([])
-        state = _get(B.binaries(table, "data")[0])
-        context, token, p, total, unit, place = (state.pop(x) for x in ("context", "token", "p", "total", "unit", "place"))
-        pair = _join(context, token)
-        keys, which = np.unique(pair, return_inverse=True)
-        names, owner = np.unique(context, return_inverse=True)
-        found = {COUNTS: np.zeros(len(keys), np.int64), KINDS: np.zeros(len(names), np.int64)}
-        cuts = {COUNTS: B.split(keys, buckets), KINDS: B.split(names, buckets)}
-        for kind, b, data in zip(answers.column("kind").to_pylist(), answers.column("bucket").to_pylist(), B.binaries(answers, "data")):
-            order, bounds = cuts[kind]
-            found[kind][order[bounds[b]:bounds[b + 1]]] = np.frombuffer(data, np.int64)
-        n, kinds = found[COUNTS][which], found[KINDS][owner]
-        p = np.where(kinds > 0, (n + kinds * p) / np.maximum(total + kinds, 1), p)
-        return _next_round(table.column("batch")[0].as_py(), state, pair, token, p, n, unit.astype(np.int64), place.astype(np.int64), buckets)
-    return run
-
-
-def deepen(rows: DataFrame, depth: int, buckets: int) -> DataFrame:
-    """Rounds for contexts of 1 to ``depth`` tokens; returns the states (a row per batch).
-
-    ``rows`` is the settled output of ``_first_round``. Only contexts that stand often enough go on to the next round."""
-    for _ in range(depth):
-        pairs = rows.where(F.col("kind") == PAIRS)
-        if pairs.isEmpty():
-            break
-        counted = settle(pairs.groupBy("bucket").applyInArrow(_pair_bucket(buckets), ROWS))
-        asked = rows.where(F.col("kind") == CONTEXTS).unionByName(counted.where(F.col("kind") == SHARES))
-        answers = counted.where(F.col("kind") == COUNTS).unionByName(asked.groupBy("bucket").applyInArrow(_context_bucket, ROWS))
-        after = settle(rows.where(F.col("kind") == STATE).groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_update(buckets), ROWS))
-        discard(rows, counted)
-        rows = after
-    return rows.where(F.col("kind") == STATE)
-
-
-def _scores(table: pa.Table) -> tuple[np.ndarray, object]:
-    """(log10 probability of each unit, what came with them) of a state: positions still open are done as they are."""
-    state = _get(B.binaries(table, "data")[0])
-    return state["done"] + np.bincount(state["unit"], np.log10(np.maximum(state["p"], 1e-300)), minlength=len(state["done"])), state["meta"]
-
-
-def _open_spelling(root: np.ndarray, words: int, buckets: int):
-    """Distinct words of a bucket as units of symbols."""
-    names = W.mix(_VALUES)
-    total = np.r_[root[:START], words, root[STOP]].astype(np.int64)
-    p = (root + 1) / (root.sum() + SYMBOLS)
-
-    def run(table: pa.Table) -> pa.Table:
-        _, _, count, data, sizes = _bucket(table)
-        sym, word, place = symbols(data, sizes)
-        return _first_round(table.column("bucket")[0].as_py(), names[sym], np.where(place > 0, p[sym], np.nan), total[sym], word, count, buckets)
-    return run
+def _words(table: pa.Table) -> pa.Table:
+    """Totals of a vocabulary bucket, and its words as a cell of the spelling tree, as yet without its constants."""
+    _, _, times, _, data, sizes = _bucket(table)
+    sym, word, place = symbols(data, sizes)
+    use = place > 0
+    before = np.flatnonzero(use) - 1
+    return pa.table({"cell": table.column("bucket")[:1], "words": pa.array([int((times > 0).sum())], pa.int64()), "total": pa.array([int(times.sum())], pa.int64()),
+                     "symbols": pa.array([np.bincount(sym[use], times[word[use]], minlength=SYMBOLS + 1)], pa.list_(pa.float64())),
+                     "before": pa.array([np.bincount(sym[before], times[word[before]], minlength=SYMBOLS + 1)], pa.list_(pa.float64())),
+                     "standing": pa.array([np.bincount(sym[before], minlength=SYMBOLS + 1)], pa.list_(pa.float64())),
+                     "tokens": pa.array([squeeze(sym)], pa.binary()), "sizes": pa.array([squeeze(sizes + 2)], pa.binary()), "weights": pa.array([squeeze(times)], pa.binary())})
 
 
 def held_out() -> Column:
@@ -356,60 +124,71 @@ def held_out() -> Column:
 
 def score_texts(docs: DataFrame) -> DataFrame:
     """``docs`` has ``doc_id, text, held_out``; returns the scores of every row, learned from those not held out."""
-    B.prepare(docs.sparkSession).conf.set("spark.sql.parquet.columnarReaderBatchSize", "8")  # rows hold a batch each
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("held_out"))
-    parts = 2 * B.batch_count(rows)  # a position needs several arrays
-    by_batch = B.with_batch(rows, parts, F.struct("doc_id", F.length("text"))).groupBy("batch")
-    sent = settle(by_batch.applyInArrow(_send(parts), "batch int, bucket int, keys binary, times binary, sizes binary, spelled binary"))
-    vocabulary = settle(sent.groupBy("bucket").applyInArrow(_vocabulary, "words long, total long, symbols array<double>"))
-    texts = rows.where(~F.col("held_out")).count()
-    known = vocabulary.agg(F.sum("words").alias("words"), F.sum("total").alias("total"), *[F.sum(F.col("symbols")[k]).alias(f"s{k}") for k in range(SYMBOLS + 1)]).first()
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce("held_out", F.lit(False)).alias("held_out"))
+    parts = B.batch_count(docs)
+    batch = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(parts)).cast("int")
+    sent = settle(docs.withColumn("batch", batch).groupBy("batch").applyInArrow(_send(parts), _SENT), wide=True)
+    texts = sent.where("bucket is null")
+    asked = sent.where("bucket is not null").drop("tokens", "counts", "sizes", "doc_id", "held_out")
+    vocabulary = settle(asked.groupBy("bucket").applyInArrow(_words, "cell int, words long, total long, symbols array<double>, before array<double>, standing array<double>, tokens binary, sizes binary, weights binary"), wide=True)
+    known = vocabulary.agg(F.sum("words").alias("words"), F.sum("total").alias("total")).first()
+    each = vocabulary.select(F.posexplode(F.arrays_zip("symbols", "before", "standing")).alias("symbol", "n")).groupBy("symbol").agg(*[F.sum(f"n.{c}").alias(c) for c in ("symbols", "before", "standing")])
+    root, before, standing = (np.zeros(SYMBOLS + 1) for _ in range(3))
+    for r in each.collect():  # a row per symbol
+        root[r["symbol"]], before[r["symbol"]], standing[r["symbol"]] = r["symbols"], r["before"], r["standing"]
+    flags = texts.select(F.explode("held_out").alias("held_out")).agg(F.count_if(~F.col("held_out")).alias("train"), F.count(F.lit(1)).alias("all")).first()
+    n_texts, n_words, distinct = flags["train"], known["total"] or 0, known["words"] or 0
+    n_tokens, n_kinds = n_words + n_texts, distinct + (n_texts > 0)
+    first = np.log((root + 1) / (root.sum() + SYMBOLS))
+    first[START] = np.nan
+    constants = [F.lit(squeeze(x)).alias(c) for c, x in (("ids", np.arange(SYMBOLS + 1) + 1), ("first", first.astype(np.float32)), ("times", before.astype(np.int64)), ("stands", standing.astype(np.int64)))]
+    spelled = settle(score_units(vocabulary.select("cell", "tokens", "sizes", "weights", *constants), DEPTH, float(root.sum()), parts), wide=True)
     discard(vocabulary)
-    tokens, kinds = (known["total"] or 0) + texts, (known["words"] or 0) + (texts > 0)
-    root, words, distinct = np.array([known[f"s{k}"] or 0.0 for k in range(SYMBOLS + 1)]), tokens - texts, max(known["words"] or 0, 1)
-    spelled = deepen(settle(sent.groupBy("bucket").applyInArrow(_open_spelling(root, words, parts), ROWS)), DEPTH, parts)
-    floor = float(np.log10(tokens + kinds + 1))
-    end_p, word_p = ((x / (tokens + 2)) for x in (texts + 1, tokens - texts + 1))
-    start_key, end_key = W.mix(_VALUES[[START, STOP]] * _STEP)
+    floor = float(np.log10(n_tokens + n_kinds + 1))
+    end_p, word_p = ((x / (n_tokens + 2)) for x in (n_texts + 1, n_words + 1))
+    pseudo = max(distinct, 1)
 
     def answer(table: pa.Table, spellings: pa.Table) -> pa.Table:
         if len(table) == 0:
-            return _rows([])
-        entries, word, count, _, _ = _bucket(table)
-        log_p, count = _scores(spellings)[0][word], count[word]
-        cuts = np.cumsum([0, *entries])
-        return _rows([(COUNTS, batch, bucket, count[a:z].tobytes(), log_p[a:z].tobytes()) for batch, bucket, a, z in zip(table.column("batch").to_pylist(), table.column("bucket").to_pylist(), cuts, cuts[1:])])
-
-    def begin(table: pa.Table, answers: pa.Table) -> pa.Table:
-        if len(table) == 0:
-            return _rows([])
-        batch = table.column("batch")[0].as_py()
-        table, counts, which, keys, *_ = _batch_words(table)
-        order, bounds = B.split(keys, parts)
-        count, log_p = np.zeros(len(keys), np.int64), np.zeros(len(keys))
-        for b, c, s in zip(answers.column("bucket").to_pylist(), B.binaries(answers, "keys"), B.binaries(answers, "data")):
-            at = order[bounds[b]:bounds[b + 1]]
-            count[at], log_p[at] = np.frombuffer(c, np.int64), np.frombuffer(s)
-        text, n = W.owners(counts), len(counts)
-        base = np.bincount(text, np.log10(count + 1.0)[which], minlength=n) + np.log10(texts + 1.0) - (counts + 1) * floor
-        known_words = np.bincount(text, (count > 0)[which], minlength=n).astype(np.int64) + (texts > 0)
-        meta = (table.column("doc_id").to_pylist(), table.column("held_out").to_pylist(), counts + 1, known_words, base)
-        ends = np.cumsum(counts + 2)
-        token, p, total = np.full(int(ends[-1]), end_key), np.full(int(ends[-1]), end_p), np.full(int(ends[-1]), texts, np.int64)
-        starts, inner = ends - counts - 2, np.ones(int(ends[-1]), bool)
-        inner[starts] = inner[ends - 1] = False
-        token[starts], p[starts] = start_key, np.nan
-        whole = (count + distinct * 10.0**log_p) / (words + distinct)
-        token[inner], p[inner], total[inner] = keys[which], (whole * word_p)[which], count[which]
-        return _first_round(batch, token, p, total, W.owners(counts + 2), (~table.column("held_out").to_numpy()).astype(np.int64), parts, meta)
-
-    def finish(table: pa.Table) -> pa.Table:
-        score, (ids, held, n_tokens, n_known, base) = _scores(table)
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(held, pa.bool_()), "n_tokens": pa.array(n_tokens), "n_known": pa.array(n_known),
-                         "train_tokens": pa.array(np.full(len(score), tokens, np.int64)), "base_score": pa.array(base), "score": pa.array(score)})
-    answers = sent.groupBy("bucket").cogroup(spelled.groupBy("batch")).applyInArrow(answer, ROWS)
-    running = deepen(settle(by_batch.cogroup(answers.groupBy("batch")).applyInArrow(begin, ROWS)), ORDER, parts)
-    return running.groupBy("batch").applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+            return _row(_ANSWER_TYPES, [])
+        here = table.column("bucket")[0].as_py()
+        entries, word, times, stands, _, _ = _bucket(table)
+        with np.errstate(divide="ignore"):
+            log_p = np.logaddexp(np.log(times), np.log(pseudo) + np.log(10.0) * spellings.column("scores")[0].values.to_numpy()) + np.log(word_p / (n_words + pseudo))
+        frequent = np.empty(len(times), np.int64)
+        frequent[np.argsort(-stands, kind="stable")] = np.arange(len(times))
+        number, cuts = FIRST_WORD + frequent * parts + here, np.cumsum([0, *entries])
+        return _row(_ANSWER_TYPES, [{"batch": b, "bucket": here, "numbers": squeeze(number[w]), "times": squeeze(times[w]), "stands": squeeze(stands[w]), "logs": squeeze(log_p[w].astype(np.float32))}
+                                    for b, w in zip(table.column("batch").to_pylist(), (word[a:z] for a, z in zip(cuts, cuts[1:])))])
+
+    def open_cell(table: pa.Table, answers: pa.Table) -> pa.Table:
+        out = []
+        for row in table.to_pylist():
+            answers = B.in_order(answers, "bucket")
+            number, times, stands, log_p = (np.concatenate([np.zeros(0, np.int64), *[expand(x) for x in B.binaries(answers, c)]]) for c in ("numbers", "times", "stands", "logs"))
+            which, counts = expand(row["tokens"]), expand(row["counts"])
+            text, n, held = W.owners(counts), len(counts), np.array(row["held_out"], bool)
+            ends = np.cumsum(counts + 2)
+            token = np.ones(int(ends[-1]), np.int64)  # local: 0 starts a text, 1 ends it
+            inner = np.ones(len(token), bool)
+            inner[ends - counts - 2] = inner[ends - 1] = False
+            token[ends - counts - 2], token[inner] = 0, which + 2
+            base = np.bincount(text, np.log10(times + 1.0)[which], minlength=n) + np.log10(n_texts + 1.0) - (counts + 1) * floor
+            out.append({"cell": row["batch"], "tokens": squeeze(token), "sizes": squeeze(counts + 2), "weights": squeeze((~held).astype(np.int64)), "ids": squeeze(np.r_[1, 2, number]),
+                        "first": squeeze(np.r_[np.nan, np.log(end_p), log_p].astype(np.float32)), "times": squeeze(np.r_[n_texts, 0, times]), "stands": squeeze(np.r_[flags["all"], 0, stands]), "doc_id": row["doc_id"], "held_out": row["held_out"],
+                        "n_tokens": (counts + 1).tolist(), "n_known": (np.bincount(text, (times > 0)[which], minlength=n).astype(np.int64) + (n_texts > 0)).tolist(), "base_score": base.tolist()})
+        return _row(_OPENED, out)
+    answers = asked.groupBy("bucket").cogroup(spelled.groupBy("cell")).applyInArrow(answer, _ANSWER)
+    opened = settle(texts.select("batch", "tokens", "counts", "doc_id", "held_out").groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(
+        open_cell, CELLS + ", doc_id array<bigint>, held_out array<boolean>, n_tokens array<bigint>, n_known array<bigint>, base_score array<double>"), wide=True)
+    discard(sent, spelled)
+    scored = opened.select("cell", "doc_id", "held_out", "n_tokens", "n_known", "base_score").join(score_units(opened, ORDER, float(n_tokens), parts), "cell")
+    each = scored.select(F.inline(F.arrays_zip("doc_id", "held_out", "n_tokens", "n_known", "base_score", F.col("scores").alias("score"))))
+    return each.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+_OPENED = pa.schema([("cell", pa.int32()), *((c, pa.binary()) for c in ("tokens", "sizes", "weights", "ids", "first", "times", "stands")), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())),
+                     ("n_tokens", pa.list_(pa.int64())), ("n_known", pa.list_(pa.int64())), ("base_score", pa.list_(pa.float64()))])
 
 
 def op8_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from hallwatch.llm import batches, best_fit_packing, bpe, chat_examples, components, language_id, license_scan, ngram_join, quality_rules, rotation_codes, substring_dedup, suffix_tree_lm
+from hallwatch.llm import batches, best_fit_packing, bpe, chat_examples, components, context_tree, language_id, license_scan, ngram_join, quality_rules, rotation_codes, substring_dedup, suffix_tree_lm
 from odd_rows import SCHEMA, documents, frame, odd, prose  # noqa: F401
 
 SMALL = "/root/testdata/sf0.001"
@@ -227,36 +227,11 @@ def test_lm_base(spark, odd, documents, empty):
     assert suffix_tree_lm.score_texts(empty.withColumn("held_out", F.lit(False))).count() == 0
 
 
-def test_spelling_is_a_distribution():
-    """Over all next symbols the tree's probabilities add up to one, whatever the state."""
-    lines = ["then", "there", "the", "than", "hat", "thing"] * 5
-    data, sizes = np.frombuffer("".join(lines).encode(), np.uint8), np.array(list(map(len, lines)))
-    sym, word, place = suffix_tree_lm.symbols(data, sizes)
-    levels, up = [], None
-    for depth in range(4):
-        at = np.flatnonzero(place > max(depth - 1, 0))
-        here, before = suffix_tree_lm.context_keys(sym, at, depth), suffix_tree_lm.context_keys(sym, at, max(depth - 1, 0))
-        _, first, which = np.unique(suffix_tree_lm.pair_keys(here, sym[at]), return_index=True, return_inverse=True)
-        levels.append(suffix_tree_lm._level(here[first], before[first], sym[at[first]], np.bincount(which)))
-    tree = suffix_tree_lm.prune(levels, gain=0.5)
-    assert any(len(x.contexts) for x in tree[1:])
-    stops = suffix_tree_lm.spell(tree, np.frombuffer(b"the", np.uint8), np.array([3]))[0]
-    longer = [suffix_tree_lm.spell(tree, np.frombuffer(b"the" + bytes([b]), np.uint8), np.array([4]))[0] for b in b"rnxz"]
-    assert stops < 0 and longer[0] > longer[2] and longer[1] > longer[3]
-    total = 0.0
-    state = [0, *[b + 1 for b in b"the"]]
-    for following in range(1, 259):
-        p = 1.0 / (tree[0].totals.sum() + 258) * (1 + sum(c for f, c in zip(tree[0].following, tree[0].counts) if f == following))
-        seq = np.array([257, *state[1:], following])
-        for depth in range(1, 4):
-            key = suffix_tree_lm.context_keys(seq, np.array([4]), depth)
-            k = suffix_tree_lm.member(tree[depth].contexts, key)[0]
-            if k < 0:
-                break
-            j = suffix_tree_lm.member(tree[depth].pairs, suffix_tree_lm.pair_keys(key, np.array([following])))[0]
-            p = ((tree[depth].counts[j] if j >= 0 else 0) + tree[depth].kinds[k] * p) / (tree[depth].totals[k] + tree[depth].kinds[k])
-        total += p
-    assert total == pytest.approx(1.0)
+def test_blending_keeps_a_distribution():
+    """Counts blended with any distribution over the same tokens add up to one."""
+    times, p = np.array([5.0, 0, 3, 0, 1]), np.array([0.1, 0.4, 0.2, 0.25, 0.05])
+    assert np.exp(context_tree.blend(np.log(p), times, np.full(5, 3.0), np.full(5, 9.0))).sum() == pytest.approx(1)
+    assert np.array_equal(context_tree.blend(np.log(p), times, np.zeros(5), np.full(5, 9.0)), np.log(p))
 
 
 # ---- 9: chat formatting

@@ -9,12 +9,13 @@ import numpy as np
 
 import brute
 from odd_rows import documents, frame, odd  # noqa: F401
-from hallwatch.llm import suffix_tree_lm as lm
+from hallwatch.llm import context_tree, suffix_tree_lm as lm
 
 
-def tree(units, base, depth, least=lm.LEAST, gain=lm.GAIN):
+def tree(units, base, depth, least=context_tree.LEAST, price=context_tree.PRICE):
     """Probability of a token after its history, from [(tokens with both marks, weight)] and that of the root."""
     after = defaultdict(Counter)
+    price *= math.log(max(sum(weight * (len(tokens) - 1) for tokens, weight in units), 1))
     for tokens, weight in units:
         for k in range(1, len(tokens)) if weight else ():
             for d in range(1, min(depth, k) + 1):
@@ -24,7 +25,7 @@ def tree(units, base, depth, least=lm.LEAST, gain=lm.GAIN):
     def retained(context):
         n = after[context]
         total = sum(n.values())
-        return sum(c * (math.log(c / total) - math.log(p(context[1:], x))) for x, c in n.items()) >= gain
+        return sum(c * (math.log(c / total) - math.log(p(context[1:], x))) for x, c in n.items()) >= price * len(n)
 
     def p(history, x):
         out = base(x)
@@ -79,6 +80,24 @@ def test_word_contexts(spark, documents):
     assert got[100] > got[101] + 3
 
 
+def test_heavy_contexts(spark, documents, monkeypatch):
+    """Contexts dealt to several buckets, and rounds for those of several tokens, give the same scores."""
+    monkeypatch.setattr(context_tree, "HEAVY", 20)
+    rows = documents[:60] + [(1000 + k, "it is all the same text again and again " * 3) for k in range(30)]
+    agree(lm.score_texts(spark.createDataFrame([(i, t, brute.crc(i, 7)) for i, t in rows], "doc_id long, text string, held_out boolean")), rows)
+
+
+def test_a_third_on_one_null_id(spark):
+    rows = [(None, "the same words on a null id")] * 40 + [(k, f"other words {k} of a text") for k in range(80)]
+    agree(lm.score_texts(spark.createDataFrame([(i, t, brute.crc(i, 7) if i is not None else False) for i, t in rows], "doc_id long, text string, held_out boolean")), rows)
+
+
+def test_squeezed_numbers():
+    rng = np.random.default_rng(1)
+    for values in (np.zeros(0, np.int64), np.arange(5), rng.integers(0, 2**40, 1000), rng.integers(0, 2**63, 50).astype(np.uint64), rng.random(77), np.array([np.nan, -1.5], np.float32)):
+        assert np.array_equal(context_tree.expand(context_tree.squeeze(values)), values, equal_nan=values.dtype.kind == "f")
+
+
 def test_rare_contexts_of_a_large_corpus(spark):
     """A context needs so many occurrences, not a share of all symbols."""
     rows = [(k, "aa " * 100_000) for k in range(9)] + [(k, "qxz qxz") for k in range(20, 24)] + [(5000, "qxzz qx zx"), (5001, "xqzz xz qz")]
