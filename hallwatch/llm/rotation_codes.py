@@ -1,18 +1,21 @@
 """Embedding near-dedup with randomised-rotation binary codes.
 
-A unit vector is turned by random orthogonal matrices; the signs of its coordinates are its code and the inner product
-of vector and code direction is the stored correction factor. Code of one and coordinates of the other give an unbiased
-estimate of their cosine with a confidence bound; pairs whose bound reaches the threshold are computed again in double
-precision, and only that value decides.
-
-Pairs are found in tables: table ``t`` groups vectors by ``k`` bits of their codes. ``k`` grows with the logarithm of
-the number of distinct vectors, so groups keep their size, and there are as many tables as a pair exactly at the
-threshold needs to meet in one of them with probability ``RECALL`` (closer pairs meet more surely). A pair is counted
-in the first table where it meets; no list of pairs is ever written. Groups over ``BLOCK`` vectors (many near copies) are
-compared block by block in separate tasks, without a cap. Equal vectors are one class with a count.
+A unit vector is turned by random orthogonal matrices; the signs of its coordinates are its *code*, the inner product of
+vector and code direction is its *correction factor*, and the coordinates of the first turn are kept in four bits each.
+All three are stored, some tens of bytes. Code of one and coarse coordinates of the other, divided by the factor, give an
+unbiased estimate of the cosine of two vectors; a pair that has the threshold errs below it by no more than ``SIGMAS``
+times the known spread, so a pair beyond this bound is dropped without its vectors (``screen``). Vectors are fetched only
+for members of pairs that are left; these are computed again in double precision, and only that value decides.
+
+Pairs are found in tables: table ``t`` groups codes by ``k`` of their bits. ``k`` grows with the logarithm of the number
+of distinct vectors, so groups keep their size, and there are as many tables as a pair exactly at the threshold needs to
+meet in one of them with probability ``RECALL`` (closer pairs meet more surely). A pair is counted in the first table
+where it meets; no list of pairs is ever written. Groups over ``BLOCK`` vectors (many near copies) are compared block by
+block in separate tasks, without a cap. Equal vectors are one class with a count.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components link with nothing; vectors of
-different lengths are not compared; a null id takes part but never names a component; rows with one id stay rows.
+different lengths are not compared; a null id takes part but never names a component; rows with one id stay rows. Classes
+go by a 64-bit hash of the vector (a chance repeat among 10^8 distinct vectors: 0.0003).
 """
 
 from __future__ import annotations
@@ -30,8 +33,10 @@ from hallwatch.llm.components import components
 from hallwatch.operators.state_tables import settle
 
 COSINE, RECALL = 0.9, 0.99
-GROUP, BLOCK = 128, 2000
+GROUP, BLOCK = 512, 2000
 SIGMAS = 4.0  # width of the confidence bound
+FEW = 16  # shorter vectors are not screened: the spread is known for many coordinates
+LEVELS = 7  # of coarse coordinates on each side of 0
 
 
 @lru_cache(maxsize=4)
@@ -57,16 +62,65 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def codes(u: np.ndarray, bits: int, tables: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(turned coordinates, correction factor per rotation, table keys) of unit vectors."""
-    size = u.shape[1]
-    turned = u @ rotations(size, -(-bits * tables // size))
-    factor = np.abs(turned).reshape(len(u), -1, size).sum(2) / math.sqrt(size)
-    signs = (turned[:, :bits * tables] > 0).reshape(len(u), tables, bits)
-    return turned, factor, signs @ (np.int64(1) << np.arange(bits, dtype=np.int64))
+def turns(size: int, bits: int, tables: int) -> int:
+    return max(1, -(-bits * tables // size))
 
 
-def _keys(bits: int, tables: int, kind: str):
+def encode(u: np.ndarray, bits: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
+    """(table keys, stored codes as rows of bytes) of unit vectors."""
+    size = u.shape[1]
+    turned = u @ rotations(size, turns(size, bits, tables))
+    signs = turned > 0
+    keys = signs[:, :bits * tables].reshape(len(u), tables, bits) @ (np.int64(1) << np.arange(bits, dtype=np.int64))
+    first = turned[:, :size]
+    factor = np.abs(first).sum(1) / math.sqrt(size)
+    step = np.abs(first).max(1) / LEVELS
+    coarse = np.rint(first / step[:, None])
+    lost = np.sqrt(((first - coarse * step[:, None]) ** 2).sum(1))
+    nibbles = np.pad((coarse + LEVELS + 1).astype(np.uint8), ((0, 0), (0, size % 2)))
+    constants = np.stack([factor, step, lost], 1).astype("<f4")
+    return keys, np.concatenate([constants.view(np.uint8).reshape(len(u), 12), nibbles[:, ::2] << 4 | nibbles[:, 1::2], np.packbits(signs, axis=1)], 1)
+
+
+class Codes:
+    """Stored codes of some vectors of one size."""
+
+    def __init__(self, raw: np.ndarray, size: int, bits: int, tables: int):
+        n, half = len(raw), (size + 1) // 2
+        self.size = size
+        self.factor, self.step, self.lost = np.ascontiguousarray(raw[:, :12]).view("<f4").astype(np.float64).T
+        nibbles = np.empty((n, 2 * half), np.uint8)
+        nibbles[:, ::2], nibbles[:, 1::2] = raw[:, 12:12 + half] >> 4, raw[:, 12:12 + half] & 15
+        self.coarse = ((nibbles[:, :size].astype(np.float32) - (LEVELS + 1)) * self.step[:, None].astype(np.float32))
+        signs = np.unpackbits(raw[:, 12 + half:], axis=1, count=size * turns(size, bits, tables))
+        self.signs = signs[:, :size].astype(np.float32) * 2 - 1
+        self.keys = signs[:, :bits * tables].reshape(n, tables, bits) @ (np.int64(1) << np.arange(bits, dtype=np.int64))
+
+    def fresh(self, i: np.ndarray, j: np.ndarray, table: int) -> np.ndarray:
+        """Pairs that meet in no earlier table."""
+        return ~(self.keys[i, :table] == self.keys[j, :table]).any(1)
+
+    def screen(self, cosine: float, side: np.ndarray, table: int) -> np.ndarray:
+        """Which vectors are in a pair that meets here first and may reach ``cosine``; with two sides only pairs across."""
+        n, found = len(self.factor), np.zeros(len(self.factor), bool)
+        scaled = self.signs / (math.sqrt(self.size) * self.factor[:, None]).astype(np.float32)
+        spread = np.sqrt(np.maximum(1 - self.factor**2, 0)) / self.factor / math.sqrt(max(self.size - 1, 1))
+        error = SIGMAS * (spread * math.sqrt(1 - cosine**2) + self.lost / math.sqrt(self.size) / self.factor.min()) / 2
+        least = (cosine / 2 - error).astype(np.float32) if self.size >= FEW else np.full(n, -np.inf, np.float32)
+        for a in range(0, n, 512):
+            estimate = (scaled[a:a + 512] @ self.coarse.T + self.coarse[a:a + 512] @ scaled.T) / 2
+            i, j = np.nonzero(estimate >= least[a:a + 512, None] + least[None])
+            i += a
+            fits = (side[i] == 0) & (side[j] == 1) if side.any() else i < j
+            i, j = i[fits], j[fits]
+            for b in range(0, len(i), 65536):
+                x, y = i[b:b + 65536], j[b:b + 65536]
+                new = self.fresh(x, y, table)
+                found[x[new]] = found[y[new]] = True
+        return found
+
+
+def _encode(bits: int, tables: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             sizes = np.diff(part.column("embedding").offsets.to_numpy()) if part.num_rows else np.zeros(0, int)
@@ -74,37 +128,50 @@ def _keys(bits: int, tables: int, kind: str):
             starts = np.cumsum(sizes) - sizes
             for size in np.unique(sizes):  # vectors of one length at a time
                 at = np.flatnonzero(sizes == size)
-                rows = flat[starts[at][:, None] + np.arange(size)]
-                _, _, keys = codes(unit(rows.astype(np.float64)), bits, tables)
+                keys, stored = encode(unit(flat[starts[at][:, None] + np.arange(size)].astype(np.float64)), bits, tables)
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, tables), pa.int32()), pa.array(keys.ravel()))
                 take = pa.array(at)
                 yield pa.RecordBatch.from_arrays([part.column("id").take(take), part.column("copies").take(take), pa.array([size] * len(at), pa.int32()), listed,
-                                                  pa.array([r.astype(kind).tobytes() for r in rows], pa.binary())], names=["id", "copies", "size", "keys", "vector"])
+                                                  pa.array([r.tobytes() for r in stored], pa.binary())], names=["id", "copies", "size", "keys", "code"])
     return run
 
 
-def _linked(u: np.ndarray, side: np.ndarray, table: int, bits: int, tables: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+def _groups(task: pa.Table) -> Iterator[tuple[int, int, int, int]]:
+    """(first row, end, size, table) of each group of two or more in a sorted task."""
+    where = np.stack([task.column(c).to_numpy().astype(np.int64) for c in ("size", "t", "key", "x", "y")], 1)
+    starts = np.flatnonzero(np.r_[True, (where[1:] != where[:-1]).any(1)])
+    for lo, hi in zip(starts, np.r_[starts[1:], len(where)]):
+        if hi - lo > 1:
+            yield lo, hi, int(where[lo, 0]), int(where[lo, 1])
+
+
+def _read_codes(raw: list[bytes], size: int, bits: int, tables: int) -> Codes:
+    return Codes(np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1), size, bits, tables)
+
+
+def _screen(bits: int, tables: int, cosine: float):
+    """Entries of a task that need their vectors."""
+    def run(task: pa.Table) -> pa.Table:
+        task = B.in_order(task, "size", "t", "key", "x", "y", "side", "id")
+        side, raw, found = task.column("side").to_numpy(), B.binaries(task, "code"), np.zeros(len(task), bool)
+        for lo, hi, size, table in _groups(task):
+            found[lo:hi] = _read_codes(raw[lo:hi], size, bits, tables).screen(cosine, side[lo:hi], table)
+        return task.filter(pa.array(found))
+    return run
+
+
+def _linked(u: np.ndarray, held: Codes, side: np.ndarray, table: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of one group that reach ``cosine`` and meet here first; with two sides only pairs across."""
-    size = u.shape[1]
-    turned, factor, keys = codes(u, bits, tables)
-    turns = factor.shape[1]
-    spread = np.sqrt(np.maximum(1 - factor**2, 0)) / factor / math.sqrt(max(size - 1, 1e-9))
-    bound = (SIGMAS * np.sqrt((spread**2).sum(1)) / turns).astype(np.float32)
-    signs = np.where(turned > 0, 1, -1).astype(np.float32) / (math.sqrt(size) * turns * np.repeat(factor, size, 1).astype(np.float32))
-    turned = turned.astype(np.float32)
     found = []
     for a in range(0, len(u), 512):
-        estimate = signs[a:a + 512] @ turned.T
-        i, j = np.nonzero(estimate + bound[a:a + 512, None] >= cosine)
+        i, j = np.nonzero(u[a:a + 512] @ u.T >= cosine - 1e-9)
         i += a
-        fits = (i < j) & (side[i] == 0) & (side[j] == 1) if side.any() else i < j
+        fits = (side[i] == 0) & (side[j] == 1) if side.any() else i < j
         i, j = i[fits], j[fits]
         for b in range(0, len(i), 65536):
             x, y = i[b:b + 65536], j[b:b + 65536]
-            near = np.einsum("ij,ij->i", u[x], u[y]) >= cosine
-            x, y = x[near], y[near]
-            fresh = ~(keys[x, :table] == keys[y, :table]).any(1)
-            found.append((x[fresh], y[fresh]))
+            near = (np.einsum("ij,ij->i", u[x], u[y]) >= cosine) & held.fresh(x, y, table)
+            found.append((x[near], y[near]))
     i, j = (np.concatenate(z) for z in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int))
     return i, j
 
@@ -122,18 +189,15 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _compare(bits: int, tables: int, cosine: float, kind: str):
+def _compare(bits: int, tables: int, cosine: float):
+    """Links of the groups of a task, by the vectors themselves."""
     def run(task: pa.Table) -> pa.Table:
         task = B.in_order(task, "size", "t", "key", "x", "y", "side", "id")
-        where = np.stack([task.column(c).to_numpy().astype(np.int64) for c in ("size", "t", "key", "x", "y")], 1)
-        starts = np.flatnonzero(np.r_[True, (where[1:] != where[:-1]).any(1)])
         ids, copies, side = (task.column(c).to_numpy() for c in ("id", "copies", "side"))
-        vectors, out = B.binaries(task, "vector"), []
-        for lo, hi in zip(starts, np.r_[starts[1:], len(ids)]):
-            if hi - lo < 2:
-                continue
-            u = unit(np.frombuffer(b"".join(vectors[lo:hi]), kind).reshape(hi - lo, -1).astype(np.float64))
-            i, j = _linked(u, side[lo:hi], int(where[lo, 1]), bits, tables, cosine)
+        raw, vectors, out = B.binaries(task, "code"), task.column("embedding").combine_chunks(), []
+        for lo, hi, size, table in _groups(task):
+            u = unit(vectors[int(lo):int(hi)].flatten().to_numpy(zero_copy_only=False).reshape(hi - lo, size).astype(np.float64))
+            i, j = _linked(u, _read_codes(raw[lo:hi], size, bits, tables), side[lo:hi], table, cosine)
             if len(i):
                 own, times = ids[lo:hi], copies[lo:hi]
                 links = np.bincount(i, times[j], minlength=hi - lo) + np.bincount(j, times[i], minlength=hi - lo)
@@ -155,16 +219,20 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "vec_
     sound = F.coalesce(sound & F.exists("embedding", lambda x: x != 0), F.lit(False))
     classes = settle(rows.where(sound).groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
                      .withColumn("id", F.xxhash64("embedding")))
-    bits, tables = layout(classes.count(), cosine)
-    entries = (classes.mapInArrow(_keys(bits, tables, kind), "id long, copies long, size int, keys array<bigint>, vector binary")
-               .select("id", "copies", "size", "vector", F.posexplode("keys").alias("t", "key")))
-    crowded = entries.groupBy("size", "t", "key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    count = classes.count()
+    bits, tables = layout(count, cosine)
+    codes = settle(classes.mapInArrow(_encode(bits, tables), "id long, copies long, size int, keys array<bigint>, code binary"))
+    entries = codes.select("id", "copies", "size", "code", F.posexplode("keys").alias("t", "key"))
+    crowded = codes.select("size", F.posexplode("keys").alias("t", "key")).groupBy("size", "t", "key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
     entries = entries.join(crowded, ["size", "t", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     entries = entries.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     entries = entries.withColumns({"x": F.least("mine", "other"), "y": F.greatest("mine", "other"), "side": (F.col("mine") > F.col("other")).cast("int")}).drop("mine", "other", "blocks")
-    wide = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), classes.count() * tables // 20_000)
-    found = settle(entries.withColumn("task", F.pmod(F.xxhash64("size", "t", "key", "x", "y"), F.lit(wide))).groupBy("task")
-                   .applyInArrow(_compare(bits, tables, cosine, kind), "a long, b long, links long"))
+    wide = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), count * tables // 20_000)
+    task = F.pmod(F.xxhash64("size", "t", "key", "x", "y"), F.lit(wide))
+    columns = "id long, copies long, size int, code binary, t int, key long, x int, y int, side int, task long"
+    near = settle(entries.withColumn("task", task).groupBy("task").applyInArrow(_screen(bits, tables, cosine), columns))
+    near = near.join(classes.select("id", "embedding"), "id")
+    found = settle(near.groupBy("task").applyInArrow(_compare(bits, tables, cosine), "a long, b long, links long"))
     groups = components(found.select("a", "b")).select(F.col("node").alias("id"), "root")
     sums = found.groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     classes = classes.join(sums, "id", "left").join(groups, "id", "left").withColumn("root", F.coalesce("root", "id"))

@@ -5,6 +5,7 @@ import random
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -303,15 +304,45 @@ def test_recall_at_the_threshold(spark):
 
 
 def test_estimates_are_unbiased():
+    """From stored codes, factors and coarse coordinates alone."""
     rng = np.random.default_rng(3)
     u = rotation_codes.unit(rng.standard_normal((300, 64)))
-    turned, factor, _ = rotation_codes.codes(u, 8, 16)
-    turns = factor.shape[1]
-    estimate = np.where(turned > 0, 1, -1) / (8 * turns * np.repeat(factor, 64, 1)) @ turned.T
-    error = (estimate - u @ u.T)[~np.eye(300, dtype=bool)]
+    _, stored = rotation_codes.encode(u, 8, 16)
+    held = rotation_codes.Codes(stored, 64, 8, 16)
+    assert stored.shape[1] == 12 + 32 + 16  # bytes: constants, coarse coordinates, two turns of signs
+    error = (held.signs / (8 * held.factor[:, None]) @ held.coarse.T - u @ u.T)[~np.eye(300, dtype=bool)]
     assert abs(error.mean()) < 0.01 and error.std() < 0.12
 
 
+@pytest.mark.parametrize("cosine", [0.9, 0.95])
+def test_screening_drops_far_pairs_and_no_near_one(cosine):
+    rng = np.random.default_rng(4)
+    a = rotation_codes.unit(rng.standard_normal((2000, 64)))
+    b = rng.standard_normal((2000, 64))
+    b = rotation_codes.unit(b - (a * b).sum(1)[:, None] * a)
+    c = np.r_[np.full(1000, cosine + 1e-6), np.full(1000, 0.4)][:, None]
+    keys, stored = rotation_codes.encode(np.r_[a, c * a + np.sqrt(1 - c**2) * b], 6, 8)
+    kept = []
+    for k in range(2000):  # each pair alone, as two sides of a group
+        held = rotation_codes.Codes(stored[[k, k + 2000]], 64, 6, 8)
+        assert (held.keys == keys[[k, k + 2000]]).all()
+        kept.append(held.screen(cosine, np.array([0, 1]), 0).all())
+    assert sum(kept[:1000]) >= 998 and sum(kept[1000:]) <= 20
+
+
+def test_exactly_at_the_threshold_among_many(spark):
+    """Pairs at 0.9 in 100,000 vectors: at least 97 of 100 are found, and none below."""
+    rng = np.random.default_rng(5)
+    u = rotation_codes.unit(rng.standard_normal((100_000, 64)))
+    b = rng.standard_normal((2000, 64))
+    b = rotation_codes.unit(b - (u[:2000] * b).sum(1)[:, None] * u[:2000])
+    for at, cos in ((slice(0, 1000), 0.9 + 1e-7), (slice(1000, 2000), 0.899)):
+        u[2000:4000][at] = cos * u[:2000][at] + np.sqrt(1 - cos**2) * b[at]
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(u)), "embedding": pa.array(list(u), pa.list_(pa.float64()))}))
+    linked = {r.vec_id for r in rotation_codes.near_vectors(df).where("n_links > 0").collect()}
+    assert linked <= {*range(1000), *range(2000, 3000)} and len(linked) >= 0.97 * 2000
+
+
 # ---- batches
 def test_keys_survive_packing():
     keys = np.random.default_rng(6).integers(0, 2**63, 1000).astype(np.uint64)
