@@ -9,8 +9,9 @@ Texts become sets of word n-gram hashes; equal sets are one class, named by a ha
 3. Each grove is a signature tree: leaves are classes, nodes hold the OR of their bitmaps, the range of set sizes and
    the most n-grams one bitmap may hide by collisions. A dual traversal keeps node pairs whose largest possible overlap
    reaches the threshold for their smallest sizes, skips pairs that are already one component, and counts exactly
-   below. A grove beyond ``BLOCK_SETS`` is cut into blocks that are trees of their own; the levels above the blocks are
-   traversed as Spark joins, so no grove is ever in one task.
+   below. All classes are sorted by grove over all tasks, so a grove may span many, and each task cuts what it holds
+   into blocks of at most ``BLOCK_SETS`` or ``BLOCK_BYTES`` that are trees of their own; the levels above the blocks
+   are traversed as Spark joins, by block, so no grove is ever in one task.
 
 Defined results: no words or a null text give an empty set that links with nothing; fewer than ``n`` words are one
 n-gram; rows with a null id have no component number of their own but count in their component's links; repeated rows
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from hallwatch.llm import batches as B, words as W
@@ -248,10 +250,10 @@ def join_tree(sizes: np.ndarray, grams: list[np.ndarray], percent: int = PERCENT
 def _grove_links(percent: int):
     """Links of all blocks of a task as (set, another set of its component)."""
     def run(table: pa.Table) -> pa.Table:
-        table = B.in_order(table, "grove", "block", "part", "lowest", "set_key")
+        table = B.in_order(table, "grove", "block", "lowest", "set_key")
         keys, size = table.column("set_key").to_numpy(), table.column("size").to_numpy()
         grams = [np.frombuffer(g, np.int64) for g in B.binaries(table, "grams")]
-        where = np.stack([table.column(c).to_numpy() for c in ("grove", "block", "part")], 1)
+        where = np.stack([table.column(c).to_numpy() for c in ("grove", "block")], 1)
         new = np.r_[True, (where[1:] != where[:-1]).any(1)]
         starts = np.flatnonzero(new)
         a, b = [], []
@@ -279,16 +281,16 @@ def _block_links(percent: int):
 
 
 def _star(percent: int):
-    """Links of sets with the pivot of their grove, which stands in the same row."""
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            a, b = [], []
-            for key, size, grams, pivot, p_size, p_grams in zip(*[part.column(k).to_pylist() for k in range(6)]):
-                overlap = len(np.intersect1d(np.frombuffer(grams, np.int64), np.frombuffer(p_grams, np.int64), assume_unique=True))
-                if overlap >= _least_overlap(size, p_size, percent):
+    """Links of the sets of a block with the pivot of its grove."""
+    def run(table: pa.Table, pivots: pa.Table) -> pa.Table:
+        a, b = [], []
+        for pivot, p_size, p_grams in zip(*(pivots.column(c).to_pylist() for c in ("pivot", "p_size", "p_grams"))):
+            grams = np.frombuffer(p_grams, np.int64)
+            for key, size, own in zip(*(table.column(c).to_pylist() for c in ("set_key", "size", "grams"))):
+                if np.isin(np.frombuffer(own, np.int64), grams, assume_unique=True).sum() >= _least_overlap(size, p_size, percent):
                     a.append(key)
                     b.append(pivot)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
     return run
 
 
@@ -298,23 +300,30 @@ def _lanes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lanes = np.stack(bits) if bits else np.zeros((0, LANES), np.uint64)
         held = np.array([len(g.as_py()) // 8 for g in part.column("grams")], np.int64)
         hidden = held - np.bitwise_count(lanes).sum(1).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("grove", "block", "part", "size", "label")], pa.array(held), pa.array(hidden),
+        yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("grove", "block", "size", "label")], pa.array(held), pa.array(hidden),
                                           *[pa.array(np.ascontiguousarray(lanes[:, k]).view(np.int64)) for k in range(LANES)]],
-                                         names=["grove", "block", "part", "size", "label", "held", "hidden", *[f"w{k}" for k in range(LANES)]])
+                                         names=["grove", "block", "size", "label", "held", "hidden", *[f"w{k}" for k in range(LANES)]])
 
 
 def _wide_links(wide: DataFrame, inner: DataFrame, percent: int) -> DataFrame:
     """Links between blocks of groves that have several: pivots first, then the upper levels by joins."""
     pivots = wide.groupBy("grove").agg(F.min("set_key").alias("pivot"))
+    pivots = wide.select("grove", "block").distinct().join(pivots, "grove")  # one copy of a pivot's n-grams a block
     pivots = pivots.join(wide.select(F.col("set_key").alias("pivot"), F.col("size").alias("p_size"), F.col("grams").alias("p_grams")).dropDuplicates(["pivot"]), "pivot")
-    star = settle(wide.join(pivots, "grove").select("set_key", "size", "grams", "pivot", "p_size", "p_grams").mapInArrow(_star(percent), "a long, b long"))
+    pivots = pivots.select(F.col("grove").alias("p_grove"), F.col("block").alias("p_block"), "pivot", "p_size", "p_grams")
+    star = settle(wide.groupBy("grove", "block").cogroup(pivots.groupBy("p_grove", "p_block")).applyInArrow(_star(percent), "a long, b long"))
     labels = components(inner.unionByName(star))
     wide = settle(wide.join(labels.withColumnsRenamed({"node": "set_key", "root": "label"}), "set_key", "left").withColumn("label", F.coalesce("label", "set_key")))
     lanes = [f"w{k}" for k in range(LANES)]
     rolled = [F.min("size").alias("low"), F.max("held").alias("held"), F.max("hidden").alias("hidden"), F.min("label").alias("first"), F.max("label").alias("last"), *[F.bit_or(w).alias(w) for w in lanes]]
-    schema = "grove long, block long, part long, size long, label long, held long, hidden long, " + ", ".join(f"{w} long" for w in lanes)
-    blocks = wide.select("grove", "block", "part", "size", "label", "grams").mapInArrow(_lanes, schema).groupBy("grove", "block", "part").agg(*rolled)
-    levels = [settle(blocks.withColumn("node", F.row_number().over(Window.partitionBy("grove").orderBy("block", "part")) - 1))]
+    schema = "grove long, block long, size long, label long, held long, hidden long, " + ", ".join(f"{w} long" for w in lanes)
+    blocks = settle(wide.select("grove", "block", "size", "label", "grams").mapInArrow(_lanes, schema).groupBy("grove", "block").agg(*rolled))
+    slices = blocks.groupBy("grove", F.shiftright("block", 32).alias("slice")).count()  # a row per task that holds a part of the grove
+    before = F.coalesce(F.sum("count").over(Window.partitionBy("grove").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    slices = slices.select("grove", "slice", before.alias("before"))
+    levels = [settle(blocks.withColumn("slice", F.shiftright("block", 32)).join(slices, ["grove", "slice"])
+                     .withColumn("node", (F.col("before") + F.col("block").bitwiseAND(2**32 - 1)).cast("int")).drop("slice", "before"))]
+    discard(blocks)
     again = [F.min("low").alias("low"), F.max("held").alias("held"), F.max("hidden").alias("hidden"), F.min("first").alias("first"), F.max("last").alias("last"), *[F.bit_or(w).alias(w) for w in lanes]]
     while levels[-1].agg(F.max("node")).first()[0]:
         levels.append(settle(levels[-1].groupBy("grove", F.floor(F.col("node") / FAN).cast("int").alias("node")).agg(*again)))
@@ -333,13 +342,33 @@ def _wide_links(wide: DataFrame, inner: DataFrame, percent: int) -> DataFrame:
         settled = (F.col("first_i") == F.col("last_i")) & (F.col("first_j") == F.col("last_j")) & (F.col("first_i") == F.col("first_j"))
         pairs = settle(pairs.where((most * (100 + percent) >= percent * (F.col("low_i") + F.col("low_j"))) & ~settled).select("grove", "i", "j"))
     pairs = pairs.where("i < j")
-    named = levels[0].select("grove", "block", "part", F.col("node"))
-    sets = wide.join(named, ["grove", "block", "part"]).select("grove", "node", "set_key", "size", "grams", "label")
+    named = levels[0].select("grove", "block", "node")
+    sets = wide.join(named, ["grove", "block"]).select("grove", "node", "set_key", "size", "grams", "label")
     sides = [pairs.withColumn("node", F.col(c)).join(sets, ["grove", "node"]).withColumn("side", F.lit(k)).drop("node") for k, c in enumerate(("i", "j"))]
     crossed = sides[0].unionByName(sides[1]).groupBy("grove", "i", "j").applyInArrow(_block_links(percent), "a long, b long")
     return star.unionByName(crossed)
 
 
+def _cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of the groves of a task, which arrive in order: number of the task and of the grove's block in it."""
+    grove, last, block, sets, size = None, None, 0, 0, 0
+    for part in parts:
+        keep, blocks = [], []
+        for k, (g, key, n) in enumerate(zip(part.column("grove").to_pylist(), part.column("set_key").to_pylist(), pc.binary_length(part.column("grams")).to_pylist())):
+            if g != grove:
+                grove, block, sets, size = g, 0, 0, 0
+            elif key == last:  # the same set from another batch
+                continue
+            elif sets >= BLOCK_SETS or size + n > BLOCK_BYTES:
+                block, sets, size = block + 1, 0, 0
+            last, sets, size = key, sets + 1, size + n
+            keep.append(k)
+            blocks.append((part.column("slice")[k].as_py() << 32) + block)
+        part = part.take(pa.array(keep, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("set_key", "size", "lowest", "grams", "grove")), pa.array(blocks, pa.int64())],
+                                         names=["set_key", "size", "lowest", "grams", "grove", "block"])
+
+
 def set_links(docs: DataFrame, n: int = N, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``a, b``: pairs of set keys in one component, enough of them to connect it."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull())
@@ -351,21 +380,19 @@ def set_links(docs: DataFrame, n: int = N, percent: int = PERCENT, doc_id: str =
     held = sets.select("set_key", F.explode("prefix").alias("gram"))
     hubs = held.groupBy("gram").agg(F.min("set_key").alias("hub"), F.max("set_key").alias("other")).where("hub <> other").select("gram", "hub")
     groves = components(held.join(hubs, "gram").select(F.col("set_key").alias("a"), F.col("hub").alias("b")))
-    members = settle(sets.drop("prefix").join(groves.withColumnsRenamed({"node": "set_key", "root": "grove"}), "set_key"))
-
-    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum(F.octet_length("grams")) / BLOCK_BYTES)).cast("long")
-    per_grove = members.groupBy("grove").agg(blocks.alias("blocks"))
+    members = sets.drop("prefix").join(groves.withColumnsRenamed({"node": "set_key", "root": "grove"}), "set_key")
+    tasks = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(sets.agg(F.sum(F.octet_length("grams"))).first()[0] or 0) // BLOCK_BYTES))
+    order = ["grove", "lowest", "set_key"]
+    members = members.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn("slice", F.spark_partition_id())
+    members = settle(members.mapInArrow(_cut, "set_key long, size long, lowest long, grams binary, grove long, block long"), wide=True)
     discard(sets)
-    members = members.join(per_grove, "grove").withColumn("block", F.pmod(F.xxhash64("lowest"), F.col("blocks")))
-    per_block = members.groupBy("grove", "block").agg(blocks.alias("parts")).where("parts > 1")  # many sets with one lowest n-gram
-    members = settle(members.join(per_block, ["grove", "block"], "left").withColumn("part", F.pmod(F.xxhash64("set_key"), F.coalesce("parts", F.lit(1).cast("long"))))
-                     .withColumn("wide", (F.col("blocks") > 1) | F.col("parts").isNotNull()).drop("blocks", "parts"))
-    tasks = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(members.agg(F.sum(F.octet_length("grams"))).first()[0] or 0) // BLOCK_BYTES))
-    inner = settle(members.drop("wide").withColumn("task", F.pmod(F.xxhash64("grove", "block", "part"), F.lit(tasks))).groupBy("task").applyInArrow(_grove_links(percent), "a long, b long"))
-    wide = members.where("wide").drop("wide")
-    if not wide.take(1):
+    inner = settle(members.withColumn("task", F.pmod(F.xxhash64("grove", "block"), F.lit(tasks))).groupBy("task").applyInArrow(_grove_links(percent), "a long, b long"))
+    blocks = members.select("grove", "block").distinct()
+    several = blocks.groupBy("grove").count().where("count > 1")
+    if several.isEmpty():
         return inner
-    return inner.unionByName(_wide_links(wide, inner, percent))
+    wide = members.join(blocks.join(several, "grove", "left_semi"), ["grove", "block"], "left_semi")
+    return inner.unionByName(_wide_links(settle(wide, wide=True), inner, percent))
 
 
 def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
