@@ -1,7 +1,7 @@
 """Best-fit packing into sequences of several permitted lengths.
 
-Pieces are packed in groups of about ``GROUP`` (by a hash, so a group is a random share of the corpus and no task holds
-more). Inside a group the longest piece goes first, into the open bin it fits most tightly. If none fits, the bin size
+Pieces are packed in groups of about ``GROUP`` (by a hash of row and place, so a group is a random share of the corpus,
+whatever the ids, and no task holds more than ``TASK_GROUPS`` of them on average). Inside a group the longest piece goes first, into the open bin it fits most tightly. If none fits, the bin size
 is opened whose cost per token placed is least after a trial fill with the pieces still to come (the longest that fits,
 again and again, so what cannot be filled counts as padding). Pieces may later fit another bin more tightly; at the end
 every bin shrinks to the smallest permitted length that holds its contents. The cost of a sequence of ``c`` tokens is
@@ -23,9 +23,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hallwatch.llm import words as W
+from hallwatch.operators.state_tables import settle
 
 LENGTHS = (512, 1024, 2048, 4096)
-GROUP = 2000
+GROUP, TASK_GROUPS = 2000, 16
 ATTENTION, START = 16384.0, 16.0
 
 
@@ -81,7 +82,7 @@ def _lengths(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _pack(lengths: Sequence[int]):
     def run(table: pa.Table) -> pa.Table:
-        table = table.take(pc.sort_indices(table, sort_keys=[("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")]))
+        table = table.take(pc.sort_indices(table, sort_keys=[("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("place", "ascending")]))
         bins, offsets, sizes = pack_group(table.column("length").to_pylist(), lengths)
         used = np.bincount(bins, table.column("length").to_numpy(), minlength=len(sizes)).astype(np.int64)
         out = table.select(["doc_id", "piece", "first", "length", "grp"])
@@ -96,12 +97,14 @@ def pack(docs: DataFrame, lengths: Sequence[int] = LENGTHS, doc_id: str = "doc_i
     longest = max(lengths)
     kind = docs.schema[doc_id].dataType.simpleString()
     sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_lengths, f"doc_id {kind}, n_words long")
-    pieces = sized.select("doc_id", "n_words", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(1), F.ceil(F.col("n_words") / longest)) - 1)).alias("piece"))
-    pieces = pieces.select("doc_id", "piece", (F.col("piece") * longest).alias("first"), F.least(F.lit(longest), F.col("n_words") - F.col("piece") * longest).cast("long").alias("length"))
+    sized = settle(sized.withColumn("place", F.monotonically_increasing_id()))  # one read of the texts; ids may be null or repeat, places not
+    pieces = sized.select("doc_id", "place", "n_words", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(1), F.ceil(F.col("n_words") / longest)) - 1)).alias("piece"))
+    pieces = pieces.select("doc_id", "place", "piece", (F.col("piece") * longest).alias("first"), F.least(F.lit(longest), F.col("n_words") - F.col("piece") * longest).cast("long").alias("length"))
     groups = max(1, -(-pieces.where("length > 0").count() // GROUP))
-    filled = pieces.where("length > 0").withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
-    packed = filled.groupBy("grp").applyInArrow(_pack(lengths), f"doc_id {kind}, piece long, first long, length long, grp long, bin long, offset long, capacity long, used long")
-    empty = pieces.where("length = 0")
+    filled = pieces.where("length > 0").withColumn("grp", F.pmod(F.xxhash64("doc_id", "length", "place", "piece"), F.lit(groups)))
+    tasks = min(groups, max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-groups // TASK_GROUPS)))
+    packed = filled.repartition(tasks, "grp").groupBy("grp").applyInArrow(_pack(lengths), f"doc_id {kind}, piece long, first long, length long, grp long, bin long, offset long, capacity long, used long")
+    empty = pieces.where("length = 0").drop("place")
     return packed.unionByName(empty, allowMissingColumns=True)
 
 

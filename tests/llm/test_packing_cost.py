@@ -24,3 +24,40 @@ def test_plan_is_never_dearer_than_smallest_bins_and_shrinks(monkeypatch):
         costs = [sum(map(best_fit_packing.cost, best_fit_packing._plan(pieces, best_fit_packing.LENGTHS, t)[2])) for t in (True, False)]
         assert sum(map(best_fit_packing.cost, best_fit_packing.pack_group(pieces)[2])) == min(costs)
     assert shrunk > 0
+
+
+def plain_plan(pieces, lengths, trial):
+    """The same greedy by looking at every bin and every piece: [(lengths of its pieces, capacity)]."""
+    bins = []
+    for at, size in enumerate(pieces):
+        free = [(c - sum(held), k) for k, (held, c) in enumerate(bins) if c - sum(held) >= size]
+        if free:
+            bins[min(free)[1]][0].append(size)
+            continue
+
+        def price(c):
+            space = c - size
+            for p in sorted(pieces[at + 1:], reverse=True) if trial else ():
+                space -= p if p <= space else 0
+            return best_fit_packing.cost(c) / (c - space) if trial else c
+        bins.append(([size], min((c for c in lengths if c >= size), key=lambda c: (price(c), c))))
+    return [(held, min(c for c in lengths if c >= sum(held))) for held, _ in bins]
+
+
+def test_plan_against_a_plain_reading():
+    rnd, lengths = random.Random(8), best_fit_packing.LENGTHS
+    for _ in range(150):
+        pieces = sorted((rnd.choice([300, 512, 700, rnd.randint(1, 4096), rnd.randint(1, 200)]) for _ in range(rnd.randint(1, 50))), reverse=True)
+        for trial in (True, False):
+            bins, offsets, capacity = best_fit_packing._plan(pieces, lengths, trial)
+            want = plain_plan(pieces, lengths, trial)
+            assert [([p for p, b in zip(pieces, bins) if b == k], c) for k, c in enumerate(capacity)] == want
+            assert all(o == sum(p for p, b in zip(pieces[:k], bins[:k]) if b == bins[k]) for k, o in enumerate(offsets))
+
+
+def test_groups_stay_small_with_a_third_on_one_null_id(spark, monkeypatch):
+    monkeypatch.setattr(best_fit_packing, "GROUP", 100)
+    rows = [(None if k % 3 == 0 else k, "one text " * 40) for k in range(1500)]
+    packed = best_fit_packing.pack(spark.createDataFrame(rows, "doc_id long, text string"))
+    sizes = [r["count"] for r in packed.groupBy("grp").count().collect()]
+    assert sum(sizes) == 1500 and max(sizes) <= 160
