@@ -2,7 +2,8 @@
 
 A template of ``L`` words is compared with every block of ``2 L`` words that starts with a template word (any other block
 holds no more than the one that starts at its first template word, so no position is lost). A block matches if it holds
-at least ``threshold`` of the template's distinct words. The join orders template words by their frequency in all texts, rarest first, and uses three filters that lose
+at least ``threshold`` of the template's distinct words, all of them if they are fewer than ``SHORT``, and the words that
+tell the template from its kin (``REQUIRED``) among them. The join orders template words by their frequency in all texts, rarest first, and uses three filters that lose
 nothing: a matching block holds one of the first ``size - need + 1`` words (prefix), it holds ``need`` template words at
 all (length), and what stands after the first shared word in both orders must suffice (positional). Only blocks that
 pass are compared. Templates are parameters, so their broadcast is bounded; texts are never shuffled.
@@ -32,7 +33,9 @@ TEMPLATES = {
     "mit": "Released under the MIT License",
     "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the software without restriction",
 }
-THRESHOLD = 0.8
+#: words without which a notice is another one
+REQUIRED = {"apache-2.0": "apache 2", "apache-2.0-header": "apache 2", "cc-by-nc": "cc by nc", "gpl-3.0": "gnu 3", "mit": "mit"}
+THRESHOLD, SHORT = 0.8, 10
 
 
 def tokens(text: str) -> np.ndarray:
@@ -43,13 +46,14 @@ def tokens(text: str) -> np.ndarray:
 class Templates:
     """Words of all templates as numbers, and each template's words from rare to frequent."""
 
-    def __init__(self, templates: Mapping[str, str], threshold: float):
+    def __init__(self, templates: Mapping[str, str], threshold: float, required: Mapping[str, str] = REQUIRED):
         self.names = sorted(n for n in templates if len(tokens(templates[n])))
         hashes = [tokens(templates[n]) for n in self.names]
         self.known = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
         self.length = [len(h) for h in hashes]
         self.members = [np.searchsorted(self.known, np.unique(h)) for h in hashes]
-        self.need = [max(1, math.ceil(threshold * len(m) - 1e-9)) for m in self.members]
+        self.need = [len(m) if len(m) < SHORT else max(1, math.ceil(threshold * len(m) - 1e-9)) for m in self.members]
+        self.required = [self.number(np.unique(tokens(required.get(n, "")))) for n in self.names]
         self.order = np.arange(len(self.known))
 
     def number(self, hashes: np.ndarray) -> np.ndarray:
@@ -88,6 +92,8 @@ class Templates:
                 held = np.unique(ranks[k:upto[k]])  # template words of the block, rare to frequent
                 if len(held) < need or 1 + min(len(ranked) - held[0] - 1, len(held) - 1) < need:
                     continue
+                if not np.isin(rank[self.required[t]], held).all():
+                    continue
                 d = held_by[k]
                 out.append((int(d), t, int(at[k] - begins[d]), int(ends[k] - begins[d]), len(held) / len(ranked)))
         return out
@@ -109,9 +115,9 @@ def frequencies(docs: DataFrame, templates: Templates, text: str) -> np.ndarray:
     return out
 
 
-def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, phrases: Mapping[str, str] = PHRASES, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, phrases: Mapping[str, str] = PHRASES, threshold: float = THRESHOLD, required: Mapping[str, str] = REQUIRED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches`` (template, words, containment)."""
-    known = Templates(templates, threshold)
+    known = Templates(templates, threshold, required)
     known.rank_by(frequencies(docs, known, text))
     runs = [(tokens(p), label) for p, label in sorted(phrases.items())]
 

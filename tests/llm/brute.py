@@ -97,7 +97,17 @@ def license_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOW))
 
 
-def license_scan(text, templates, phrases, threshold):
+def license_blocks(w, template, threshold, required, short=10):
+    """Containment of every matching block of twice the template's words, at whatever word it starts."""
+    t = license_words(template)
+    need = len(set(t)) if len(set(t)) < short else math.ceil(threshold * len(set(t)) - 1e-9)
+    for b in range(len(w)):
+        held = set(t) & set(w[b:b + 2 * len(t)])
+        if len(held) >= need and set(license_words(required)) <= held:
+            yield len(held) / len(set(t))
+
+
+def license_scan(text, templates, phrases, threshold, required):
     w, places, base = license_words(text), [], set()
     for phrase, label in phrases.items():
         p = phrase.split()
@@ -107,13 +117,9 @@ def license_scan(text, templates, phrases, threshold):
                 base.add(label)
     labels, score = set(base), 1.0 if base else 0.0
     for name, template in templates.items():
-        t = license_words(template)
-        need = math.ceil(threshold * len(set(t)) - 1e-9)
-        for b in range(0, len(w), len(t)):
-            shared = len(set(t) & set(w[b:b + 2 * len(t)]))
-            if shared >= need:
-                labels.add(name)
-                score = max(score, shared / len(set(t)))
+        for share in license_blocks(w, template, threshold, required.get(name, "")):
+            labels.add(name)
+            score = max(score, share)
     return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), round(score, 9)
 
 

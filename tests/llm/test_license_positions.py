@@ -6,13 +6,12 @@ import brute
 from hallwatch.llm import license_scan
 
 
-def every_start(text, templates, threshold):
-    """Largest containment of each template that any block of twice its words reaches, at whatever word it starts."""
+def every_start(text):
+    """Largest containment of each template among its matching blocks."""
     w, out = brute.license_words(text), {}
-    for name, template in templates.items():
-        t = brute.license_words(template)
-        best = max((len(set(t) & set(w[k:k + 2 * len(t)])) / len(set(t)) for k in range(len(w))), default=0)
-        if best >= threshold - 1e-9:
+    for name, template in license_scan.TEMPLATES.items():
+        best = max(brute.license_blocks(w, template, license_scan.THRESHOLD, license_scan.REQUIRED.get(name, "")), default=None)
+        if best:
             out[name] = best
     return out
 
@@ -20,7 +19,7 @@ def every_start(text, templates, threshold):
 def test_a_notice_is_found_wherever_it_stands(spark):
     rnd, rows = random.Random(5), []
     for k in range(12):
-        rows.append((k, "w " * k + "released x y under z the MIT tail tail tail tail tail tail"))
+        rows.append((k, "w " * k + "released x y under z the MIT license tail tail tail tail tail tail"))
     for k in range(100, 300):
         words = rnd.choice(list(license_scan.TEMPLATES.values())).split()
         for _ in range(rnd.randint(0, len(words))):
@@ -31,5 +30,15 @@ def test_a_notice_is_found_wherever_it_stands(spark):
         best = {}
         for m in got[i]:
             best[m.template] = max(best.get(m.template, 0), m.containment)
-        assert best == every_start(text, license_scan.TEMPLATES, license_scan.THRESHOLD)
+        assert best == every_start(text)
     assert all("mit" in {m.template for m in got[k]} for k in range(12))
+
+
+def test_kin_of_a_notice_are_not_taken_for_it(spark):
+    other = {"Licensed under CC BY 4.0": "cc-by", "GNU General Public License, version 2": "gpl", "released under the GPL license": "", "Released under the BSD License": "",
+             "We released the new album under a license": "", "Licensed under the EPL License, Version 2.0": "", "This work is licensed under the GNU General Public License, version 2": "gpl"}
+    same = {"Licensed under CC BY-NC 4.0": "cc-by,cc-by-nc", "This software is released under the MIT License.": "mit", "Licensed under the Apache License, Version 2.0 (the License)": "apache-2.0",
+            "it is licensed under GNU General Public License version 3, that work": "gpl,gpl-3.0"}
+    texts = {**other, **same}
+    got = {r.doc_id: r.labels for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(texts.values()))
