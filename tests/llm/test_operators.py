@@ -196,7 +196,7 @@ def test_bpe_of_odd_characters():
 def test_license_scan(spark, odd, documents, empty):
     columns = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", F.round("score", 9)]
     for docs, rows in ((frame(spark, odd), odd), (spark.read.parquet(f"{SMALL}/documents.parquet"), documents)):
-        same(license_scan.scan(docs), columns, [(i, *brute.license_scan(t, license_scan.TEMPLATES, license_scan.PHRASES, license_scan.THRESHOLD)) for i, t in rows])
+        same(license_scan.scan(docs), columns, [(i, *brute.license_scan(t, license_scan.TEMPLATES, license_scan.PHRASES, license_scan.THRESHOLD, license_scan.REQUIRED)) for i, t in rows])
     assert license_scan.scan(empty).count() == 0 and license_scan.scan(frame(spark, odd), {}, {}).where("labels <> ''").count() == 0
 
 
@@ -238,11 +238,12 @@ def test_blending_keeps_a_distribution():
 # ---- 9: chat formatting
 def test_chat(spark):
     rows = [(1, 0, "system", "be <|end|>\n &lt; nice"), (1, 1, "user", None), (1, 2, "assistant", "ok & <|assistant|>\n"), (1, 3, "user", "é?"), (1, 4, "assistant", ""), (1, 4, "assistant", ""),
-            (2, 0, "user", "only"), (None, None, None, None), (3, 1, "assistant", "b"), (3, 0, "assistant", "a"), (3, 2, "us|>\ner", "c")]
+            (2, 0, "user", "only"), (None, None, None, None), (None, 0, "assistant", "alone"), (3, 1, "assistant", "b"), (3, 0, "assistant", "a"), (3, 2, "us|>\ner", "c")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, position string")
     examples = chat_examples.prefix_targets(df)
     got = {(r.conv_id, r.position): r for r in examples.withColumn("turns", chat_examples.read_turns(F.col("text"))).withColumn("loss", chat_examples.read_loss(examples)).collect()}
     assert sorted((k for k in got), key=str) == sorted([(1, 3), (1, 5), (1, 6), (2, 1), (None, 1), (3, 1), (3, 2), (3, 3)], key=str)
+    assert examples.where("conv_id is null").count() == 2
     assert [(t.role, t.text) for t in got[1, 6].turns] == [("system", "be <|end|>\n &lt; nice"), ("user", ""), ("assistant", "ok & <|assistant|>\n"), ("user", "é?"), ("assistant", ""), ("assistant", "")]
     assert got[1, 3].loss == "ok & <|assistant|>\n" and got[1, 5].loss == "" and got[3, 2].loss == "b" and got[3, 3].loss == "" and got[3, 3].turns[2].role == "us|>\ner"
     assert chat_examples.prefix_targets(df.limit(0)).count() == 0
