@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from hallwatch.llm import words as W
-from hallwatch.operators.state_tables import settle
+from hallwatch.operators.state_tables import discard, settle
 
 LEAST, PRICE = 4, 0.5
 HEAVY = 1 << 19
@@ -74,9 +74,20 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """(first entry of each distinct key, number of each entry's key, how many)."""
-    _, first, which = np.unique(keys, return_index=True, return_inverse=True)
-    return first, which, len(first)
+    """(an entry of each distinct key in order, number of each entry's key, how many)."""
+    order = np.argsort(keys)
+    s = keys[order]
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    which = np.empty(len(s), np.int64)
+    which[order] = np.cumsum(new) - 1
+    one = order[new]
+    return one, which, len(one)
+
+
+def _by_bucket(bucket: np.ndarray) -> np.ndarray:
+    """Stable order by bucket."""
+    return np.argsort(bucket.astype(np.uint16) if bucket.max(initial=0) < 1 << 16 else bucket, kind="stable")
 
 
 def pays(gain: np.ndarray, total: np.ndarray, kinds: np.ndarray, observations: float) -> np.ndarray:
@@ -112,13 +123,14 @@ class Cell:
     def entries(self) -> None:
         """Distinct (context, next) of the live positions, by bucket, context and next."""
         after = self.token[self.at]
-        first, which, n = _groups(_both(self.context, after))
+        exact = int(self.token.max(initial=0)) < 1 << 32 and int(self.context.max(initial=0)) < 1 << 32  # ids, not hashes: sorted by both
+        first, which, n = _groups(self.context << np.uint64(32) | after if exact else _both(self.context, after))
         self.e_context, self.e_next, self.e_salts = self.context[first], after[first], -(-self.held[first] // HEAVY)
         times, stands = np.bincount(which, self.weight[self.at], minlength=n).astype(np.int64), np.bincount(which, minlength=n)
         log_p = self.log_p[self.at[first]].astype(np.float32)
         salt = np.where(self.e_salts > 1, W.mix(self.e_next) % self.e_salts.astype(np.uint64), 0).astype(np.uint64)
         bucket = _bucket(W.mix(self.e_context + salt * _STEP), self.buckets)
-        order = np.lexsort((self.e_next, self.e_context, bucket))
+        order = _by_bucket(bucket) if exact else np.lexsort((self.e_next, self.e_context, bucket))
         self.e_context, self.e_next, self.e_salts = self.e_context[order], self.e_next[order], self.e_salts[order]
         self.e_times, self.e_stands, self.e_log = times[order], stands[order], log_p[order]
         place = np.empty(n, np.int64)
@@ -138,14 +150,12 @@ class Cell:
             cut, run = slice(self.bounds[b], self.bounds[b + 1]), self.runs(b)
             begins = np.cumsum(run) - run
             contexts, nexts, logs = self.e_context[cut][begins], self.e_next[cut], self.e_log[cut]
-            order = np.lexsort((logs, nexts))  # each next token and its probability once
-            new = np.r_[True, (nexts[order][1:] != nexts[order][:-1]) | (logs[order][1:] != logs[order][:-1])]
-            index = np.empty(len(order), np.int64)
-            index[order] = np.cumsum(new) - 1
-            names = nexts[order][new]
+            small = int(nexts.max()) < 1 << 32
+            one, index, _ = _groups(nexts << np.uint64(32) | logs.view(np.uint32) if small else _both(nexts, logs.view(np.uint32).astype(np.uint64)))  # each with its probability once
+            names = nexts[one]
             out.append((PAIRS, depth, self.number, int(b), [squeeze(x) for x in (
                 np.diff(contexts, prepend=np.uint64(0)).astype(np.int64) if depth == 1 else contexts, run, self.e_salts[cut][begins], index,
-                np.diff(names, prepend=np.uint64(0)).astype(np.int64), logs[order][new], self.e_times[cut], self.e_stands[cut])]))
+                np.diff(names, prepend=np.uint64(0)).astype(np.int64) if small else names, logs[one], self.e_times[cut], self.e_stands[cut])]))
         return out
 
     def learn(self, depth: int, answers: pa.Table) -> None:
@@ -187,6 +197,7 @@ class Cell:
         self.light.append((depth + 1, light))
         heavy = (seen >= LEAST) & (held > 0)
         self.at, self.held, self.context = after[heavy], held[heavy], longer[heavy]
+        del self.e_context, self.e_next, self.e_salts, self.e_times, self.e_stands, self.e_log, self.e_of
 
     def spread(self, order: int) -> list[tuple]:
         """Every light position to the bucket of its context, and the sums of all others."""
@@ -195,13 +206,14 @@ class Cell:
         done = self.place > 0
         done[at] = False
         sums = np.bincount(self.unit[done], self.log_p[done] / np.log(10.0), minlength=self.units)
-        out = [(SUMS, None, self.number, self.number % self.buckets, [squeeze(np.arange(self.units)), squeeze(sums)])]
+        out = [(SUMS, None, self.number, self.number % self.buckets, [squeeze(np.diff(np.arange(self.units), prepend=0)), squeeze(sums)])]
         route = np.zeros(len(at), np.uint64)
         for k in range(1, int(depth.max(initial=0)) + 1):
             on = depth >= k
             route[on] = _both(route[on], self.token[at[on] - k])
         bucket = _bucket(route, self.buckets)
-        by = np.lexsort((at, bucket))
+        by = np.argsort(at, kind="stable")  # already in order but for several depths
+        by = by[_by_bucket(bucket[by])]
         at, depth, bounds = at[by], depth[by], np.searchsorted(bucket[by], np.arange(self.buckets + 1))
         contexts, live = [], np.ones(len(at), bool)
         for k in range(1, order + 1):  # a token further back matters only if every two neighbours stand often enough
@@ -224,7 +236,7 @@ def _pair_bucket(observations: float, buckets: int):
         depth, cells, here = table.column("depth")[0].as_py(), table.column("cell").to_pylist(), table.column("bucket")[0].as_py()
         names = [np.cumsum(g[0].astype(np.uint64)) if depth == 1 else g[0] for g in got]
         context = np.concatenate([np.repeat(c, g[1]) for c, g in zip(names, got)])
-        after = np.concatenate([np.cumsum(g[4])[g[3]] for g in got]).astype(np.uint64)
+        after = np.concatenate([(g[4] if g[4].dtype == np.uint64 else np.cumsum(g[4]).astype(np.uint64))[g[3]] for g in got])
         logs = np.concatenate([g[5][g[3]] for g in got]).astype(np.float64)
         first, which, n = _groups(_both(context, after))
         times = np.bincount(which, np.concatenate([g[6] for g in got]), minlength=n).astype(np.int64)
@@ -310,7 +322,7 @@ def _light_bucket(observations: float, order: int):
         for cell, g in zip(cells, got):
             unit, p = np.cumsum(g[1]), log_p[begin:begin + len(g[1])]
             starts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
-            out.append((SUMS, None, cell, None, [squeeze(unit[starts]), squeeze(np.add.reduceat(p, starts) / np.log(10.0))]))
+            out.append((SUMS, None, cell, None, [squeeze(np.diff(unit[starts], prepend=0)), squeeze((np.add.reduceat(p, starts) / np.log(10.0)).astype(np.float32))]))
             begin += len(unit)
         return rows(out)
     return run
@@ -319,10 +331,9 @@ def _light_bucket(observations: float, order: int):
 def _sum(cells: pa.Table) -> pa.Table:
     """log10 probability of each unit of a cell."""
     got = [[expand(x) for x in p] for p in parts_of(cells)]
-    units = max(len(g[0]) for g in got)  # one row has all units
-    total = np.zeros(units)
+    total = np.zeros(max(len(unit) for unit, _ in got))  # one row has all units
     for unit, values in got:
-        total[unit] += values
+        total[np.cumsum(unit)] += values
     return pa.table({"cell": pa.array([cells.column("cell")[0].as_py()], pa.int32()), "scores": pa.array([total], pa.list_(pa.float64()))})
 
 
@@ -339,25 +350,31 @@ def _replayed(buckets: int, depth: int, order: int):
     return run
 
 
-def score_units(cells: DataFrame, order: int, observations: float, buckets: int) -> DataFrame:
+def score_units(cells: DataFrame, order: int, observations: float, buckets: int, release: bool = False) -> DataFrame:
     """``cell, scores``: log10 probability of each unit after its start mark, for contexts of up to ``order`` tokens.
 
-    ``cells`` is a settled table of ``CELLS`` (other columns are ignored), each column a ``squeeze``d array: local token
-    of every position (units end to end, each with its start mark), size and weight of each unit, and of each local token
-    its id (above 0), the logarithm of its probability without context (not a number for the start) how often it stands in training and how many positions have it
-    as the token before (the end of a unit: 0)."""
-    spark = cells.sparkSession
+    ``cells`` is a settled table of ``CELLS``; with ``release`` what the cells send is settled too and they are deleted
+    (where they are as large as that, it lowers the most that lies on disk at once). Each column is a ``squeeze``d
+    array: local token of every position (units end to end, each with its start mark), size and weight of each unit, and
+    of each local token its id (above 0), the logarithm of its probability without context (not a number for the start),
+    how often it stands in training and how many positions have it as the token before (the end of a unit: 0)."""
+    spark, held = cells.sparkSession, [cells]
     cells = cells.select("cell", "tokens", "sizes", "weights", "ids", "first", "times", "stands")
     answers = spark.createDataFrame([], ROWS)
     depth, more = 0, True
     while more and depth < order:
         sent = cells.groupBy("cell").cogroup(answers.groupBy("cell")).applyInArrow(_replayed(buckets, depth, 0), ROWS)
         counted = settle(sent.groupBy("bucket").applyInArrow(_pair_bucket(observations, buckets), ROWS), wide=True)
+        held.append(counted)
         answers, depth = answers.unionByName(counted.where(F.col("kind") == COUNTS)), depth + 1
         shares = counted.where(F.col("kind").isin(SHARES, ASKS))
         if not shares.isEmpty():
-            answers = answers.unionByName(settle(shares.groupBy("bucket").applyInArrow(_shared_contexts(observations), ROWS), wide=True))
+            held.append(settle(shares.groupBy("bucket").applyInArrow(_shared_contexts(observations), ROWS), wide=True))
+            answers = answers.unionByName(held[-1])
         more = not counted.where(F.col("kind") == MORE).isEmpty()
     sent = cells.groupBy("cell").cogroup(answers.groupBy("cell")).applyInArrow(_replayed(buckets, depth, order), ROWS)
+    if release:
+        sent = settle(sent, wide=True)
+        discard(*held)
     sums = sent.groupBy("bucket").applyInArrow(_light_bucket(observations, order), ROWS)
     return sums.groupBy("cell").applyInArrow(_sum, SCORES)

@@ -10,8 +10,8 @@ for members of pairs that are left; these are computed again in double precision
 Pairs are found in tables: table ``t`` groups codes by ``k`` of their bits. ``k`` grows with the logarithm of the number
 of distinct vectors, so groups keep their size, and there are as many tables as a pair exactly at the threshold needs to
 meet in one of them with probability ``RECALL`` (closer pairs meet more surely). A pair is counted in the first table
-where it meets; no list of pairs is ever written. Groups over ``BLOCK`` vectors (many near copies) are compared block by
-block in separate tasks, without a cap. Equal vectors are one class with a count.
+where it meets; no list of pairs is ever written. Groups over ``BLOCK`` codes, and over ``NEAR_BLOCK`` vectors that are
+left (many near copies), are compared block by block in separate tasks, without a cap. Equal vectors are one class with a count.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components link with nothing; vectors of
 different lengths are not compared; a null id takes part but never names a component; rows with one id stay rows. Classes
@@ -33,7 +33,7 @@ from hallwatch.llm.components import components
 from hallwatch.operators.state_tables import settle
 
 COSINE, RECALL = 0.9, 0.99
-GROUP, BLOCK = 512, 2000
+GROUP, BLOCK, NEAR_BLOCK = 512, 2000, 256
 SIGMAS = 4.0  # width of the confidence bound
 FEW = 16  # shorter vectors are not screened: the spread is known for many coordinates
 LEVELS = 7  # of coarse coordinates on each side of 0
@@ -208,9 +208,19 @@ def _compare(bits: int, tables: int, cosine: float):
     return run
 
 
+def _dealt(entries: DataFrame, block: int, tables: int, count: int) -> DataFrame:
+    """Entries with the task of their group; groups of more than ``block`` as pairs of blocks, so an entry stands in several."""
+    group = ["size", "t", "key"]
+    crowded = entries.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).where("blocks > 1")
+    entries = entries.join(crowded, group, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    entries = entries.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    entries = entries.withColumns({"x": F.least("mine", "other"), "y": F.greatest("mine", "other"), "side": (F.col("mine") > F.col("other")).cast("int")}).drop("mine", "other", "blocks")
+    tasks = max(2 * int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), count * tables // 20_000)
+    return entries.withColumn("task", F.pmod(F.xxhash64(*group, "x", "y"), F.lit(tasks)))
+
+
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """``vec_id, n_links, component_id, kept`` per row."""
-    spark = vectors.sparkSession
     kind = "<f4" if "float" in vectors.schema[embedding].dataType.simpleString() else "<f8"
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<float>" if kind == "<f4" else "array<double>").alias("embedding"))
     sound = F.size("embedding") > 0
@@ -222,16 +232,10 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "vec_
     count = classes.count()
     bits, tables = layout(count, cosine)
     codes = settle(classes.mapInArrow(_encode(bits, tables), "id long, copies long, size int, keys array<bigint>, code binary"))
-    entries = codes.select("id", "copies", "size", "code", F.posexplode("keys").alias("t", "key"))
-    crowded = codes.select("size", F.posexplode("keys").alias("t", "key")).groupBy("size", "t", "key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
-    entries = entries.join(crowded, ["size", "t", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    entries = entries.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    entries = entries.withColumns({"x": F.least("mine", "other"), "y": F.greatest("mine", "other"), "side": (F.col("mine") > F.col("other")).cast("int")}).drop("mine", "other", "blocks")
-    wide = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), count * tables // 20_000)
-    task = F.pmod(F.xxhash64("size", "t", "key", "x", "y"), F.lit(wide))
-    columns = "id long, copies long, size int, code binary, t int, key long, x int, y int, side int, task long"
-    near = settle(entries.withColumn("task", task).groupBy("task").applyInArrow(_screen(bits, tables, cosine), columns))
-    near = near.join(classes.select("id", "embedding"), "id")
+    entries = _dealt(codes.select("id", "copies", "size", "code", F.posexplode("keys").alias("t", "key")), BLOCK, tables, count)
+    near = entries.groupBy("task").applyInArrow(_screen(bits, tables, cosine), "id long, copies long, size int, code binary, t int, key long, x int, y int, side int, task long")
+    near = settle(near.select("id", "copies", "size", "code", "t", "key").dropDuplicates(["size", "t", "key", "id"]))
+    near = _dealt(near, NEAR_BLOCK, tables, count).join(classes.select("id", "embedding"), "id")
     found = settle(near.groupBy("task").applyInArrow(_compare(bits, tables, cosine), "a long, b long, links long"))
     groups = components(found.select("a", "b")).select(F.col("node").alias("id"), "root")
     sums = found.groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))

@@ -125,7 +125,8 @@ def held_out() -> Column:
 def score_texts(docs: DataFrame) -> DataFrame:
     """``docs`` has ``doc_id, text, held_out``; returns the scores of every row, learned from those not held out."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce("held_out", F.lit(False)).alias("held_out"))
-    parts = B.batch_count(docs)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(2, -(-int(size) // B.BATCH_BYTES))  # cells and buckets grow with the texts, not with the cluster
     batch = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(parts)).cast("int")
     sent = settle(docs.withColumn("batch", batch).groupBy("batch").applyInArrow(_send(parts), _SENT), wide=True)
     texts = sent.where("bucket is null")
@@ -142,8 +143,10 @@ def score_texts(docs: DataFrame) -> DataFrame:
     first = np.log((root + 1) / (root.sum() + SYMBOLS))
     first[START] = np.nan
     constants = [F.lit(squeeze(x)).alias(c) for c, x in (("ids", np.arange(SYMBOLS + 1) + 1), ("first", first.astype(np.float32)), ("times", before.astype(np.int64)), ("stands", standing.astype(np.int64)))]
-    spelled = settle(score_units(vocabulary.select("cell", "tokens", "sizes", "weights", *constants), DEPTH, float(root.sum()), parts), wide=True)
+    words = settle(vocabulary.select("cell", "tokens", "sizes", "weights", *constants), wide=True)
     discard(vocabulary)
+    spelled = settle(score_units(words, DEPTH, float(root.sum()), parts), wide=True)
+    discard(words)
     floor = float(np.log10(n_tokens + n_kinds + 1))
     end_p, word_p = ((x / (n_tokens + 2)) for x in (n_texts + 1, n_words + 1))
     pseudo = max(distinct, 1)
@@ -178,12 +181,13 @@ def score_texts(docs: DataFrame) -> DataFrame:
                         "first": squeeze(np.r_[np.nan, np.log(end_p), log_p].astype(np.float32)), "times": squeeze(np.r_[n_texts, 0, times]), "stands": squeeze(np.r_[flags["all"], 0, stands]), "doc_id": row["doc_id"], "held_out": row["held_out"],
                         "n_tokens": (counts + 1).tolist(), "n_known": (np.bincount(text, (times > 0)[which], minlength=n).astype(np.int64) + (n_texts > 0)).tolist(), "base_score": base.tolist()})
         return _row(_OPENED, out)
-    answers = asked.groupBy("bucket").cogroup(spelled.groupBy("cell")).applyInArrow(answer, _ANSWER)
+    answers = settle(asked.groupBy("bucket").cogroup(spelled.groupBy("cell")).applyInArrow(answer, _ANSWER), wide=True)
+    meta = ["doc_id", "held_out", "n_tokens", "n_known", "base_score"]
     opened = settle(texts.select("batch", "tokens", "counts", "doc_id", "held_out").groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(
         open_cell, CELLS + ", doc_id array<bigint>, held_out array<boolean>, n_tokens array<bigint>, n_known array<bigint>, base_score array<double>"), wide=True)
-    discard(sent, spelled)
-    scored = opened.select("cell", "doc_id", "held_out", "n_tokens", "n_known", "base_score").join(score_units(opened, ORDER, float(n_tokens), parts), "cell")
-    each = scored.select(F.inline(F.arrays_zip("doc_id", "held_out", "n_tokens", "n_known", "base_score", F.col("scores").alias("score"))))
+    discard(sent, spelled, answers)
+    about = settle(opened.select("cell", *meta), wide=True)
+    each = about.join(score_units(opened, ORDER, float(n_tokens), parts, release=True), "cell").select(F.inline(F.arrays_zip(*meta, F.col("scores").alias("score"))))
     return each.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -281,6 +281,7 @@ def plain_links(rows, cosine):
 @pytest.mark.parametrize("block,kind", [(2000, "float"), (20, "double")])
 def test_vectors(spark, monkeypatch, block, kind):
     monkeypatch.setattr(rotation_codes, "BLOCK", block)
+    monkeypatch.setattr(rotation_codes, "NEAR_BLOCK", block)
     rng = np.random.default_rng(1)
     center = rng.standard_normal(24)
     vectors = [center + 0.05 * rng.standard_normal(24) for _ in range(60)] + list(rng.standard_normal((80, 24)))
