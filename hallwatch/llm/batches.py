@@ -16,14 +16,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES, LEAST_BATCHES = 8 << 20, 8
 KEY_BYTES = 7  # the bucket number adds the bits that the eighth byte would have
 
 
 def batch_count(docs: DataFrame, text: str = "text") -> int:
-    spark = docs.sparkSession
+    """Of batches and of buckets; it grows with the texts, not with the cluster, as every batch sends every bucket a row."""
     size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    return max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // BATCH_BYTES))
+    return max(LEAST_BATCHES, -(-int(size) // BATCH_BYTES))
 
 
 def with_batch(docs: DataFrame, batches: int, key: Column) -> DataFrame:

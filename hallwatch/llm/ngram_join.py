@@ -9,9 +9,9 @@ Texts become sets of word n-gram hashes; equal sets are one class, named by a ha
 3. Each grove is a signature tree: leaves are classes, nodes hold the OR of their bitmaps, the range of set sizes and
    the most n-grams one bitmap may hide by collisions. A dual traversal keeps node pairs whose largest possible overlap
    reaches the threshold for their smallest sizes, skips pairs that are already one component, and counts exactly
-   below. All classes are sorted by grove over all tasks, so a grove may span many, and each task cuts what it holds
-   into blocks of at most ``BLOCK_SETS`` or ``BLOCK_BYTES`` that are trees of their own; the levels above the blocks
-   are traversed as Spark joins, by block, so no grove is ever in one task.
+   below. All classes are sorted by grove over all tasks, so a grove may span many; their places, added up over the
+   tasks, cut it into blocks of about ``BLOCK_SETS`` or ``BLOCK_BYTES`` that are trees of their own, and the levels
+   above the blocks are traversed as Spark joins, by block, so no grove is ever in one task.
 
 Defined results: no words or a null text give an empty set that links with nothing; fewer than ``n`` words are one
 n-gram; rows with a null id have no component number of their own but count in their component's links; repeated rows
@@ -317,13 +317,8 @@ def _wide_links(wide: DataFrame, inner: DataFrame, percent: int) -> DataFrame:
     lanes = [f"w{k}" for k in range(LANES)]
     rolled = [F.min("size").alias("low"), F.max("held").alias("held"), F.max("hidden").alias("hidden"), F.min("label").alias("first"), F.max("label").alias("last"), *[F.bit_or(w).alias(w) for w in lanes]]
     schema = "grove long, block long, size long, label long, held long, hidden long, " + ", ".join(f"{w} long" for w in lanes)
-    blocks = settle(wide.select("grove", "block", "size", "label", "grams").mapInArrow(_lanes, schema).groupBy("grove", "block").agg(*rolled))
-    slices = blocks.groupBy("grove", F.shiftright("block", 32).alias("slice")).count()  # a row per task that holds a part of the grove
-    before = F.coalesce(F.sum("count").over(Window.partitionBy("grove").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    slices = slices.select("grove", "slice", before.alias("before"))
-    levels = [settle(blocks.withColumn("slice", F.shiftright("block", 32)).join(slices, ["grove", "slice"])
-                     .withColumn("node", (F.col("before") + F.col("block").bitwiseAND(2**32 - 1)).cast("int")).drop("slice", "before"))]
-    discard(blocks)
+    blocks = wide.select("grove", "block", "size", "label", "grams").mapInArrow(_lanes, schema).groupBy("grove", "block").agg(*rolled)
+    levels = [settle(blocks.withColumn("node", F.col("block").cast("int")))]
     again = [F.min("low").alias("low"), F.max("held").alias("held"), F.max("hidden").alias("hidden"), F.min("first").alias("first"), F.max("last").alias("last"), *[F.bit_or(w).alias(w) for w in lanes]]
     while levels[-1].agg(F.max("node")).first()[0]:
         levels.append(settle(levels[-1].groupBy("grove", F.floor(F.col("node") / FAN).cast("int").alias("node")).agg(*again)))
@@ -342,31 +337,37 @@ def _wide_links(wide: DataFrame, inner: DataFrame, percent: int) -> DataFrame:
         settled = (F.col("first_i") == F.col("last_i")) & (F.col("first_j") == F.col("last_j")) & (F.col("first_i") == F.col("first_j"))
         pairs = settle(pairs.where((most * (100 + percent) >= percent * (F.col("low_i") + F.col("low_j"))) & ~settled).select("grove", "i", "j"))
     pairs = pairs.where("i < j")
-    named = levels[0].select("grove", "block", "node")
-    sets = wide.join(named, ["grove", "block"]).select("grove", "node", "set_key", "size", "grams", "label")
+    sets = wide.select("grove", F.col("block").cast("int").alias("node"), "set_key", "size", "grams", "label")
     sides = [pairs.withColumn("node", F.col(c)).join(sets, ["grove", "node"]).withColumn("side", F.lit(k)).drop("node") for k, c in enumerate(("i", "j"))]
     crossed = sides[0].unionByName(sides[1]).groupBy("grove", "i", "j").applyInArrow(_block_links(percent), "a long, b long")
     return star.unionByName(crossed)
 
 
-def _cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of the groves of a task, which arrive in order: number of the task and of the grove's block in it."""
-    grove, last, block, sets, size = None, None, 0, 0, 0
+def _place(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Where each set lies in the part of its grove that this task holds, in blocks; sets arrive in order."""
+    grove, last, at = None, None, 0.0
     for part in parts:
-        keep, blocks = [], []
+        keep, places = [], []
         for k, (g, key, n) in enumerate(zip(part.column("grove").to_pylist(), part.column("set_key").to_pylist(), pc.binary_length(part.column("grams")).to_pylist())):
             if g != grove:
-                grove, block, sets, size = g, 0, 0, 0
+                grove, at = g, 0.0
             elif key == last:  # the same set from another batch
                 continue
-            elif sets >= BLOCK_SETS or size + n > BLOCK_BYTES:
-                block, sets, size = block + 1, 0, 0
-            last, sets, size = key, sets + 1, size + n
+            last = key
             keep.append(k)
-            blocks.append((part.column("slice")[k].as_py() << 32) + block)
+            places.append(at)
+            at += max(1 / BLOCK_SETS, n / BLOCK_BYTES)
         part = part.take(pa.array(keep, pa.int64()))
-        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("set_key", "size", "lowest", "grams", "grove")), pa.array(blocks, pa.int64())],
-                                         names=["set_key", "size", "lowest", "grams", "grove", "block"])
+        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(places, pa.float64())], names=[*part.schema.names, "place"])
+
+
+def _in_blocks(members: DataFrame) -> DataFrame:
+    """``block`` of each set in its grove: its place after all that earlier tasks hold of the grove."""
+    held = F.max(F.col("place") + F.greatest(F.lit(1 / BLOCK_SETS), F.octet_length("grams") / BLOCK_BYTES)).alias("held")
+    slices = members.groupBy("grove", "slice").agg(held)  # a row per task and grove
+    w = Window.partitionBy("grove").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.withColumn("before", F.sum("held").over(w)).where("before is not null").select("grove", "slice", "before")
+    return members.join(slices, ["grove", "slice"], "left").withColumn("block", F.floor(F.coalesce("before", F.lit(0.0)) + F.col("place"))).drop("before", "slice", "place")
 
 
 def set_links(docs: DataFrame, n: int = N, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -384,7 +385,8 @@ def set_links(docs: DataFrame, n: int = N, percent: int = PERCENT, doc_id: str =
     tasks = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(sets.agg(F.sum(F.octet_length("grams"))).first()[0] or 0) // BLOCK_BYTES))
     order = ["grove", "lowest", "set_key"]
     members = members.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn("slice", F.spark_partition_id())
-    members = settle(members.mapInArrow(_cut, "set_key long, size long, lowest long, grams binary, grove long, block long"), wide=True)
+    members = _in_blocks(settle(members.select("set_key", "size", "lowest", "grams", "grove", "slice").mapInArrow(
+        _place, "set_key long, size long, lowest long, grams binary, grove long, slice int, place double"), wide=True))
     discard(sets)
     inner = settle(members.withColumn("task", F.pmod(F.xxhash64("grove", "block"), F.lit(tasks))).groupBy("task").applyInArrow(_grove_links(percent), "a long, b long"))
     blocks = members.select("grove", "block").distinct()
