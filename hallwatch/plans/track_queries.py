@@ -6,7 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, functions as F
 
-from hallwatch.operators import handover, identity, similarity, throttle, tracker
+from hallwatch.operators import handover, identity, live_gallery, similarity, throttle, tracker
 from hallwatch.operators.gates import crop_quality, gallery_grade
 from hallwatch.params import DEFAULTS
 from hallwatch.plans.oracle_views import B, sql
@@ -327,6 +327,45 @@ def lost_track_feed(v: Views) -> DataFrame:
     return identity.lost_track_feed(lost, identities(v), g, v.persons()).select("person_name", "track_id", "crop_id", *whole("gallery_rank"))
 
 
+# tracks of every third order bring their vector in when they leave; the others are tried every six seconds while they stay.
+# A vector is near itself only, and belongs to one person.
+_LIVE_SEC = 600
+_LIVE = f"""base AS (SELECT o_orderkey AS id, o_orderkey % 5 AS site, o_custkey % n AS vec, (o_custkey % n) % 50 AS person, {B} + o_orderkey*2000 AS t_in,
+        {B} + o_orderkey*2000 + (o_custkey % 20)*1000 AS t_out FROM orders, n_vec),
+    pushes AS (SELECT site, person, vec, id, t_out AS t, row_number() OVER (PARTITION BY site, person ORDER BY t_out, id) AS m FROM base WHERE id % 3 = 0),
+    tries AS (SELECT site, person, vec, id, t_in + 6000*k AS t FROM base, range(4) r(k) WHERE id % 3 <> 0 AND t_in + 6000*k <= t_out),
+    seen AS (SELECT a.site, a.person, a.id, a.t, max(p.t) FILTER (p.vec = a.vec) AS own_t, max(p.m) - max(p.m) FILTER (p.vec = a.vec) AS newer
+        FROM tries a JOIN pushes p ON p.site = a.site AND p.person = a.person AND p.t <= a.t GROUP BY ALL),
+    steps AS (SELECT *, row_number() OVER (PARTITION BY site, person ORDER BY t, is_try, id) AS i FROM (
+        SELECT site, person, t, id, false AS is_try, NULL AS own_t, false AS near FROM pushes UNION ALL SELECT site, person, t, id, true, own_t, newer < 10 FROM seen)),
+    run AS (SELECT site, person, i, id, t, t AS life, t AS last, []::BIGINT[] AS done, false AS hit FROM steps WHERE i = 1
+        UNION ALL SELECT site, person, i, id, t, CASE WHEN NOT is_try AND t - last > {_LIVE_SEC * 1000} THEN t ELSE life END, CASE WHEN hit OR NOT is_try THEN t ELSE last END,
+            CASE WHEN hit THEN list_append(done, id) ELSE done END, hit
+        FROM (SELECT s.*, r.life, r.last, r.done, coalesce(s.is_try AND s.near AND s.t - r.last <= {_LIVE_SEC * 1000} AND s.own_t >= r.life AND NOT list_contains(r.done, s.id), false) AS hit
+            FROM run r JOIN steps s ON s.site = r.site AND s.person = r.person AND s.i = r.i + 1))"""
+
+
+@query("O53", "O67", "O69", check=sql(f"WITH RECURSIVE {_LIVE} SELECT id AS track_id, concat('site_', site) AS site_id, person AS person_id, t AS t_ms, 1.0::DOUBLE AS score FROM run WHERE hit", "n_vec"))
+def live_gallery_matches(v: Views) -> DataFrame:
+    """Tracks found in the person gallery as it stood at each try; a match lets the person live on."""
+    p = replace(DEFAULTS, reappear_sec=float(_LIVE_SEC))
+    n, t, vec = v.vector_count(), F.col("track_id"), F.col("vec_number")
+    d = v.with_vector(v.spans().withColumn("person_id", vec % n % 50), vec)
+    pushes = d.filter(t % 3 == 0).select("site_id", "person_id", F.col("exited_at").alias("ts"), t.alias("crop_id"), "embedding")
+    k = F.explode(F.sequence(F.lit(0), F.least(F.lit(3), F.floor((F.unix_millis("exited_at") - F.unix_millis("entered_at")) / 6000)).cast("int")))
+    tries = d.filter(t % 3 != 0).withColumn("k", k).select(t.alias("entry_id"), "site_id", F.timestamp_millis(F.unix_millis("entered_at") + 6000 * F.col("k")).alias("ts"), F.lit(0.9).alias("quality"), "embedding")
+    found = live_gallery.match_live_gallery(tries, pushes, p)
+    return found.select(F.col("entry_id").alias("track_id"), "site_id", "person_id", (F.col("us") / 1000).cast("long").alias("t_ms"), r6("score").alias("score"))
+
+
+@query("O67", check=sql("""SELECT camera_id, frame_number, track_id FROM (SELECT camera_id, frame_number, concat(camera_id, ':', track_id) AS track_id,
+    min(frame_number) OVER (PARTITION BY camera_id, track_id) AS first FROM observations) WHERE frame_number = first OR frame_number % 30 = 0""", "observations"))
+def reid_schedule(v: Views) -> DataFrame:
+    """When a track is compared with the person gallery: at its first observation and on every thirtieth frame."""
+    seen = v.observations().withColumn("track_id", F.concat_ws(":", "camera_id", "track_id"))
+    return live_gallery.reid_attempts(seen).select("camera_id", "frame_number", "track_id")
+
+
 @query("O70", check=sql("""SELECT CASE event_type WHEN 'signup' THEN 'face' WHEN 'purchase' THEN 'reid' ELSE 'handover' END AS match_type, epoch_us(ts) // 1000 AS t_ms, concat('cam_', user_id % 4) AS camera_id,
     CAST(user_id AS VARCHAR) AS track_id, CASE WHEN event_type <> 'click' THEN concat('person_', user_id % 10) END AS person_name, round(value/600.0::DOUBLE, 6) AS confidence
     FROM events WHERE event_type IN ('signup', 'purchase', 'click')"""))
