@@ -105,6 +105,47 @@ def salted(known: DataFrame, asked: DataFrame, keys: list[str], size: int) -> tu
     return copied, spread
 
 
+def look_alikes(site: Any, left: pd.DataFrame, right: pd.DataFrame, p: Params) -> pd.DataFrame:
+    """Candidate edges of lost tracks (exit_id, from_camera, exit_us, until_us, n_vectors, flat) and entries (entry_id,
+    to_camera, entry_us, vec) of one site, compared as matrix blocks; in the order of the entries."""
+    window = to_micros(p.reappear_sec)
+    columns = ["site_id", *EDGE_COLUMNS, "score"]
+    if left.empty or right.empty:
+        return no_rows(columns)
+    left, right = left.sort_values("exit_us", ignore_index=True), right.sort_values("entry_us", ignore_index=True)
+    in_us, out_us = right["entry_us"].to_numpy(), left["exit_us"].to_numpy()
+    sizes = left["n_vectors"].to_numpy()
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    known = np.concatenate(left["flat"].to_numpy()).reshape(begin[-1], -1)
+    gone, cams, seen_by = left["until_us"].to_numpy(), left["from_camera"].to_numpy(), right["to_camera"].to_numpy()
+    found, i = [], 0
+    while i < len(right):
+        # only the band of lost tracks that these entries can look back to
+        low = int(np.searchsorted(out_us, in_us[i] - window, side="right"))
+        step = min(_ROWS_AT_ONCE, max(1, CELLS_AT_ONCE // max(1, int(sizes[low:].sum()))))
+        rows = slice(i, min(i + step, len(right)))
+        i = rows.stop
+        band = slice(low, int(np.searchsorted(out_us, in_us[i - 1], side="right")))
+        if band.start >= band.stop:
+            continue
+        t, x, some = in_us[rows][:, None], out_us[band], sizes[band]
+        near = (t >= x) & (t - x < window) & (t <= gone[band]) & (seen_by[rows][:, None] != cams[band])
+        width, place = _padded(some)
+        spread = np.full((len(t), len(x) * width), np.inf)
+        spread[:, place] = np.stack(right["vec"].to_numpy()[rows]) @ known[begin[band.start]:begin[band.stop]].T
+        spread = np.sort(spread.reshape(len(t), len(x), width), axis=2)
+        at = np.arange(len(x))
+        score = (spread[:, at, (some - 1) // 2] + spread[:, at, some // 2]) / 2.0
+        r, c = np.nonzero(near & (score > p.reid_similarity))
+        if len(r):
+            found.append(pd.DataFrame({
+                "site_id": site, "entry_id": right["entry_id"].to_numpy()[rows][r], "exit_id": left["exit_id"].to_numpy()[band][c],
+                "from_camera": cams[band][c], "to_camera": seen_by[rows][r], "exit_us": x[c], "entry_us": in_us[rows][r], "score": score[r, c]}))
+    if not found:
+        return no_rows(columns)
+    return plain_strings(pd.concat(found)[columns])
+
+
 def reappearance_candidates(lost: DataFrame, entries: DataFrame, p: Params = DEFAULTS, per_task: int = ENTRIES_PER_TASK) -> DataFrame:
     """New tracks against the tracks of the same site lost on another camera in the last minutes.
 
@@ -128,41 +169,7 @@ def reappearance_candidates(lost: DataFrame, entries: DataFrame, p: Params = DEF
     x, e = salted(x, e, ["_site", "_slot"], per_task)
 
     def compare(key: tuple[Any, ...], left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        columns = ["site_id", *EDGE_COLUMNS, "score"]
-        if left.empty or right.empty:
-            return no_rows(columns)
-        left, right = left.sort_values("exit_us", ignore_index=True), right.sort_values("entry_us", ignore_index=True)
-        in_us, out_us = right["entry_us"].to_numpy(), left["exit_us"].to_numpy()
-        sizes = left["n_vectors"].to_numpy()
-        begin = np.concatenate([[0], np.cumsum(sizes)])
-        known = np.concatenate(left["flat"].to_numpy()).reshape(begin[-1], -1)
-        gone, cams, seen_by = left["until_us"].to_numpy(), left["from_camera"].to_numpy(), right["to_camera"].to_numpy()
-        found, i = [], 0
-        while i < len(right):
-            # only the band of lost tracks that these entries can look back to
-            low = int(np.searchsorted(out_us, in_us[i] - window, side="right"))
-            step = min(_ROWS_AT_ONCE, max(1, CELLS_AT_ONCE // max(1, int(sizes[low:].sum()))))
-            rows = slice(i, min(i + step, len(right)))
-            i = rows.stop
-            band = slice(low, int(np.searchsorted(out_us, in_us[i - 1], side="right")))
-            if band.start >= band.stop:
-                continue
-            t, x, some = in_us[rows][:, None], out_us[band], sizes[band]
-            near = (t >= x) & (t - x < window) & (t <= gone[band]) & (seen_by[rows][:, None] != cams[band])
-            width, place = _padded(some)
-            spread = np.full((len(t), len(x) * width), np.inf)
-            spread[:, place] = np.stack(right["vec"].to_numpy()[rows]) @ known[begin[band.start]:begin[band.stop]].T
-            spread = np.sort(spread.reshape(len(t), len(x), width), axis=2)
-            at = np.arange(len(x))
-            score = (spread[:, at, (some - 1) // 2] + spread[:, at, some // 2]) / 2.0
-            r, c = np.nonzero(near & (score > p.reid_similarity))
-            if len(r):
-                found.append(pd.DataFrame({
-                    "site_id": key[0], "entry_id": right["entry_id"].to_numpy()[rows][r], "exit_id": left["exit_id"].to_numpy()[band][c],
-                    "from_camera": cams[band][c], "to_camera": seen_by[rows][r], "exit_us": x[c], "entry_us": in_us[rows][r], "score": score[r, c]}))
-        if not found:
-            return no_rows(columns)
-        return plain_strings(pd.concat(found)[columns])
+        return look_alikes(key[0], left, right, p)
 
     t = {"site_id": lost.schema["site_id"].dataType.simpleString(),
          "entry_id": entries.schema["entry_id"].dataType.simpleString(),

@@ -208,20 +208,20 @@ _REAPPEAR = """SELECT x.{site} AS site_id, e.track_id AS entry_id, x.track_id AS
     AND e.quality >= 0.5::DOUBLE AND x.exit_vec IS NOT NULL AND e.entry_vec IS NOT NULL) WHERE s > 0.65::DOUBLE"""
 
 
-def _lost(v: Views) -> DataFrame:
+def lost_tracks(v: Views) -> DataFrame:
     from hallwatch.functions.vectors import unit
     return v.exits(5.0).withColumn("vectors", F.when(F.col("embedding").isNotNull(), F.array(unit(F.col("embedding")))).otherwise(F.array().cast("array<array<double>>")))
 
 
 @query("O41", check=sql(f"SELECT site_id, entry_id, exit_id, round(s, 6) AS score FROM ({_REAPPEAR.format(site='site_id')})", "spans"))
 def reappearance_candidates(v: Views) -> DataFrame:
-    return handover.reappearance_candidates(_lost(v), v.entries()).select("site_id", "entry_id", "exit_id", r6("score").alias("score"))
+    return handover.reappearance_candidates(lost_tracks(v), v.entries()).select("site_id", "entry_id", "exit_id", r6("score").alias("score"))
 
 
 @query("O38", "O41", check=sql(f"""WITH RECURSIVE {_greedy("SELECT *, -round(s, 9) AS worse FROM (" + _REAPPEAR.format(site='site_id') + ")", 'site_id', 'worse')}
     SELECT site_id, entry_id, exit_id FROM links""", "spans"))
 def reappearance_resolved(v: Views) -> DataFrame:
-    return handover.resolve_reappearance(handover.reappearance_candidates(_lost(v), v.entries())).select("site_id", "entry_id", "exit_id")
+    return handover.resolve_reappearance(handover.reappearance_candidates(lost_tracks(v), v.entries())).select("site_id", "entry_id", "exit_id")
 
 
 # every zone of the scene as a site of its own: handover first, then reappearance
@@ -232,7 +232,7 @@ GLOBAL_LINKS = _greedy(_BOTH, "zone", "kind, pref")
 
 def global_links(v: Views) -> DataFrame:
     zone_edges = _zone_edges(v, 12.0).withColumnRenamed("zone", "site_id")
-    again = handover.reappearance_candidates(_lost(v).withColumn("site_id", F.col("zone")), v.entries().withColumn("site_id", F.col("zone")))
+    again = handover.reappearance_candidates(lost_tracks(v).withColumn("site_id", F.col("zone")), v.entries().withColumn("site_id", F.col("zone")))
     return handover.resolve_links(zone_edges, again)
 
 
