@@ -108,8 +108,8 @@ class Cell:
     def __init__(self, row: dict, buckets: int):
         local, sizes, weights, ids, first, times, stands = (expand(row[c]) for c in ("tokens", "sizes", "weights", "ids", "first", "times", "stands"))
         self.number, self.buckets, self.units = row["cell"], buckets, len(sizes)
-        self.unit = np.repeat(np.arange(len(sizes)), sizes)
-        self.place = np.arange(len(local)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.unit = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        self.place = (np.arange(len(local)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
         self.token = ids.astype(np.uint64)[local]
         self.log_p = first.astype(np.float64)[local]  # natural logarithm; not a number at the start of each unit
         self.weight = weights[self.unit]
@@ -117,7 +117,7 @@ class Cell:
         self.at = self.at[times[local[self.at - 1]] >= LEAST]
         self.held = stands[local[self.at - 1]]  # positions with the same context
         self.context = self.token[self.at - 1]
-        self.pairs = np.zeros(len(local), np.int64)  # how often the two tokens before each position stand in training
+        self.pairs = np.zeros(len(local), bool)  # whether the two tokens before each position stand often enough in training
         self.light: list[tuple[int, np.ndarray]] = []  # (depth, positions) that one bucket can take
 
     def entries(self) -> None:
@@ -188,7 +188,7 @@ class Cell:
         inside[inside] = self.unit[after[inside]] == self.unit[at[inside]]
         after, seen, held, longer = after[inside], seen[inside], held[inside], _both(self.context[inside], self.token[at[inside]])
         if depth == 1:
-            self.pairs[after] = seen
+            self.pairs[after] = seen >= LEAST
             light = after[(seen >= LEAST) & (held == 0)]
         else:
             closed = np.zeros(len(self.unit), bool)  # known to be too rare, or heavy again
@@ -219,7 +219,7 @@ class Cell:
         for k in range(1, order + 1):  # a token further back matters only if every two neighbours stand often enough
             live &= self.place[at] >= k
             if k > 2:
-                live &= (depth >= k) | (self.pairs[np.maximum(at - k + 2, 0)] >= LEAST)
+                live &= (depth >= k) | self.pairs[np.maximum(at - k + 2, 0)]
             contexts.append(np.where(live, self.token[np.maximum(at - k, 0)], 0).astype(np.int64))
         log_p = self.log_p[at].astype(np.float32)
         for b in np.flatnonzero(np.diff(bounds)):
