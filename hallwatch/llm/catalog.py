@@ -22,6 +22,8 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_ngram_jaccard_join": ngram_join.OP1_SQL,
+    "op7_substring_dedup": substring_dedup.OP7_SQL,
     "op9_chat_formatting": chat_examples.OP9_SQL,
     "op11_wavelet_fim": wavelet_fim.OP11_SQL,
     "op13_importance_resampling": importance_resampling.OP13_SQL,

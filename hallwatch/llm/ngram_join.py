@@ -408,3 +408,15 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, doc_id:
 
 def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{folder}/documents.parquet")).drop("set_key")
+
+
+OP1_SQL = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+grams AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS gram FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM texts WHERE len(words) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_ FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM met JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * both_ >= 75 * (x.n + y.n - both_)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM texts UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT t.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, min(r.b) AS component_id FROM texts t LEFT JOIN sizes s ON s.doc_id = t.doc_id JOIN reach r ON r.a = t.doc_id GROUP BY ALL"""
