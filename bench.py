@@ -17,7 +17,7 @@ HEADLINE = [
     "face_match", "person_gallery_match", "track_gallery_match", "gallery_cap_quality", "mean_embedding",
     "zone_handover_candidates", "zone_handover_resolved", "reappearance_candidates", "global_tracks", "identity_linking", "face_confirmation",
     "stationary_time", "lost_between_frames", "camera_tracker", "event_query", "recent_tracks", "occupancy", "sightings", "track_upsert",
-    "observed_identities", "motion_gate_stream", "frame_rate_limit_stream", "event_sink_stream", "track_upsert_stream", "gallery_reload_stream",
+    "observed_identities", "live_gallery_matches", "reid_schedule", "reappearance_stream", "identity_stream", "motion_gate_stream", "frame_rate_limit_stream", "event_sink_stream", "track_upsert_stream", "gallery_reload_stream",
     "gallery_expiry_stream", "zone_handover_stream", "camera_tracker_stream",
 ]
 
