@@ -9,54 +9,53 @@ watermark has passed the end of a slot nothing can come for it any more and its
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
 from typing import Any
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
-from hallwatch.functions import vectors
 from hallwatch.functions.clock import slot, to_micros
 from hallwatch.operators.handover import EDGE_COLUMNS, look_alikes
 from hallwatch.params import DEFAULTS, Params
-from hallwatch.streaming.ordered import ROCKSDB
+from hallwatch.streaming.ordered import PACKED, ROCKSDB, packed, unpacked
 
 LOST = ["exit_id", "from_camera", "exit_us", "until_us", "n_vectors", "flat"]
 NEW = ["entry_id", "to_camera", "entry_us", "vec"]
-ROWS_AT_ONCE = 2000  # of stored rows; bounds what a task holds beside its new rows
 
 
 class _Compare(StatefulProcessor):
     def __init__(self, slot_us: int, lost_ddl: str, new_ddl: str, p: Params):
-        self.slot_us, self.lost_ddl, self.new_ddl, self.p = slot_us, lost_ddl, new_ddl, p
+        self.slot_us, self.p = slot_us, p
+        self.lost_schema, self.new_schema = (to_arrow_schema(StructType.fromDDL(ddl)) for ddl in (lost_ddl, new_ddl))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.lost, self.new = handle.getListState("lost", self.lost_ddl), handle.getListState("new", self.new_ddl)
+        self.lost, self.new = handle.getListState("lost", PACKED), handle.getListState("new", PACKED)
 
     @staticmethod
-    def _stored(state: Any, columns: list[str]) -> Iterator[pd.DataFrame]:
-        rows = iter(state.get()) if state.exists() else iter(())
-        while part := list(islice(rows, ROWS_AT_ONCE)):
-            yield _vectors(pd.DataFrame(part, columns=columns))
+    def _stored(state: Any, schema: Any) -> Iterator[pd.DataFrame]:
+        """Batch by batch, as the rows came; that bounds what a task holds beside its new rows."""
+        for row in state.get():
+            yield unpacked(row, schema).to_pandas()
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         site, number = key
         self.handle.registerTimer((int(number) + 1) * self.slot_us // 1000)
         for pdf in rows:
-            lost = _vectors(pdf.loc[pdf["is_lost"], ["id", "camera_id", "us", "until_us", "n_vectors", "flat"]].set_axis(LOST, axis=1))
-            new = _vectors(pdf.loc[~pdf["is_lost"], ["id", "camera_id", "us", "flat"]].set_axis(NEW, axis=1))
+            lost = pdf.loc[pdf["is_lost"], ["id", "camera_id", "us", "until_us", "n_vectors", "flat"]].set_axis(LOST, axis=1)
+            new = pdf.loc[~pdf["is_lost"], ["id", "camera_id", "us", "flat"]].set_axis(NEW, axis=1)
             # new tracks against all lost ones known, then lost ones that came late against new tracks that wait
-            for known in self._stored(self.lost, LOST):
+            for known in self._stored(self.lost, self.lost_schema):
                 yield look_alikes(site, known, new, self.p)
             yield look_alikes(site, lost, new, self.p)
-            for waiting in self._stored(self.new, NEW):
+            for waiting in self._stored(self.new, self.new_schema):
                 yield look_alikes(site, lost, waiting, self.p)
-            for state, part in ((self.lost, lost), (self.new, new)):
+            for state, part, schema in ((self.lost, lost, self.lost_schema), (self.new, new, self.new_schema)):
                 if len(part):
-                    state.appendList([tuple(v.tolist() if hasattr(v, "tolist") else v for v in row) for row in part.itertuples(index=False, name=None)])
+                    state.appendList([packed(part, schema)])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         self.lost.clear()
@@ -67,15 +66,10 @@ class _Compare(StatefulProcessor):
         pass
 
 
-def _vectors(rows: pd.DataFrame) -> pd.DataFrame:
-    column = "flat" if "flat" in rows else "vec"
-    return rows.assign(**{column: [np.asarray(v, dtype=float) for v in rows[column]]}).reset_index(drop=True)
-
-
 def reappearances(lost: DataFrame, entries: DataFrame, p: Params = DEFAULTS, slot_sec: float | None = None) -> DataFrame:
     """O41 on streams with watermarks on exit_ts and entry_ts; inputs and columns as in the batch operator."""
     lost.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    length, window = slot_sec or p.reappear_sec, to_micros(p.reappear_sec)
+    length, window = slot_sec or max(p.chunk_sec, p.reappear_sec), to_micros(p.reappear_sec)
     no_end = F.lit(2**62).cast("long")
     us = F.unix_micros("exit_ts")
     x = lost.filter(F.size("vectors") > 0).select(
@@ -84,9 +78,11 @@ def reappearances(lost: DataFrame, entries: DataFrame, p: Params = DEFAULTS, slo
     us = F.unix_micros("entry_ts")
     e = entries.filter((F.col("quality") >= p.min_visibility) & F.col("embedding").isNotNull()).select(
         "site_id", slot(us, length).alias("slot"), F.lit(False).alias("is_lost"), F.col("entry_id").alias("id"), "camera_id", us.alias("us"), no_end.alias("until_us"),
-        F.lit(1).alias("n_vectors"), vectors.unit(F.col("embedding")).alias("flat"), F.col("entry_ts").alias("ts"))
+        F.lit(1).alias("n_vectors"), F.col("embedding").alias("flat"), F.col("entry_ts").alias("ts"))
     kind = {c: entries.schema[c].dataType.simpleString() for c in ("site_id", "entry_id")}
     ddl = f"site_id {kind['site_id']}, entry_id {kind['entry_id']}, exit_id {kind['entry_id']}, from_camera string, to_camera string, exit_us long, entry_us long, score double"
-    logic = _Compare(to_micros(length), f"exit_id {kind['entry_id']}, from_camera string, exit_us long, until_us long, n_vectors int, flat array<double>",
-                     f"entry_id {kind['entry_id']}, to_camera string, entry_us long, vec array<double>", p)
-    return x.unionByName(e).groupBy("site_id", "slot").transformWithStateInPandas(logic, outputStructType=ddl, outputMode="Append", timeMode="EventTime")
+    both = x.unionByName(e)
+    flat = both.schema["flat"].dataType.simpleString()
+    logic = _Compare(to_micros(length), f"exit_id {kind['entry_id']}, from_camera string, exit_us long, until_us long, n_vectors int, flat {flat}",
+                     f"entry_id {kind['entry_id']}, to_camera string, entry_us long, vec {flat}", p)
+    return both.groupBy("site_id", "slot").transformWithStateInPandas(logic, outputStructType=ddl, outputMode="Append", timeMode="EventTime")
