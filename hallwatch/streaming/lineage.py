@@ -6,7 +6,8 @@ further back passes those who wait for it on to there, so pointers double and a
 takes about ``log n`` micro-batches; parts that come one after the other take one each. What is handed or passed on is
 appended to the lineage log, and the same log is read back as a stream: that is how a track hears of its root and of
 those who point to it. Distinct tracks of a chain point to distinct tracks, so no key gets hot. The log holds the root of
-every track once, whatever the split into micro-batches.
+every track once, whatever the split into micro-batches. Tracks lie in state by the bucket, as Arrow batches: calls to
+state are per bucket and micro-batch, not per track.
 """
 
 from __future__ import annotations
@@ -14,54 +15,78 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from hallwatch.streaming import jobs
-from hallwatch.streaming.ordered import ROCKSDB
+from hallwatch.streaming.ordered import PACKED, ROCKSDB, ROWS_AT_ONCE, packed, unpacked
 
 LOG = "track_id string, kind string, other string"  # its root, or the earlier track it points to from now on
 
 
+MESSAGE = ["key", "kind", "other"]
+BUCKETS = 256  # of tracks; a state key each
+
+
 class _HandOn(StatefulProcessor):
-    """State of a track: its root or the track it points to, who waits for it, and whether it may be forgotten."""
+    """State of a bucket of tracks: the root of each or the track it points to, who waits for it, and whether it may be forgotten.
+
+    All tracks of a bucket are answered at once. Roots, which never change, are only appended to; the rest is rewritten."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.root, self.up, self.closed = (handle.getValueState(name, "value string") for name in ("root", "up", "closed"))
-        self.waiting = handle.getListState("waiting", "entry string")
+        self.arrow = pa.schema([(name, pa.string()) for name in MESSAGE])
+        self.roots, self.open = (handle.getListState(name, PACKED) for name in ("roots", "open"))
+
+    def _read(self, rows: Iterator[tuple]) -> pd.DataFrame:
+        return pa.Table.from_batches([unpacked(row, self.arrow) for row in rows], self.arrow).to_pandas()
+
+    def _pieces(self, rows: pd.DataFrame) -> list[tuple]:
+        return [packed(rows.iloc[i:i + ROWS_AT_ONCE], self.arrow) for i in range(0, len(rows), ROWS_AT_ONCE)]
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        told: dict[str, str] = {}
-        later: list[str] = []
-        for pdf in rows:
-            for kind, other in zip(pdf["kind"], pdf["other"]):
-                if kind == "next":
-                    later.append(str(other))
-                else:
-                    told[kind] = str(other)
-        for kind, state in (("root", self.root), ("up", self.up), ("gone", self.closed)):
-            if kind in told:
-                state.update((told[kind],))
-        known = next((name for name, state in (("root", self.root), ("up", self.up)) if state.exists()), None)
-        if known is None:
-            if later:
-                self.waiting.appendList([(e,) for e in later])
-            yield pd.DataFrame(columns=["track_id", "kind", "other"], dtype=object)
-            return
-        if self.waiting.exists():
-            later = [w[0] for w in self.waiting.get()] + later
-            self.waiting.clear()
-        value = (self.root if known == "root" else self.up).get()[0]
-        if known == "root" and self.closed.exists():
-            for state in (self.root, self.up, self.closed):
-                state.clear()
-        yield pd.DataFrame({"track_id": later, "kind": [known] * len(later), "other": [value] * len(later)}, dtype=object)
+        new = self._read((batch,) for pdf in rows for batch in pdf["rows"])
+        known = self._read(self.roots.get())
+        rest = pd.concat([self._read(self.open.get()), new], ignore_index=True)
+        kind = rest["kind"]
+        told = rest[kind == "root"].drop_duplicates("key", keep="last")
+        told = told[~told["key"].isin(known["key"])]
+        roots = pd.concat([known, told], ignore_index=True)
+        ups = rest[(kind == "up") & ~rest["key"].isin(roots["key"])].drop_duplicates("key", keep="last")
+        gone, later = rest[kind == "gone"].drop_duplicates("key"), rest[kind == "next"]
+        root, up = (later["key"].map(pd.Series(of["other"].to_numpy(), index=of["key"].to_numpy(), dtype=object)) for of in (roots, ups))
+        answer = root.where(root.notna(), up)
+        out = pd.DataFrame({"track_id": later["other"], "kind": np.where(root.notna(), "root", "up"), "other": answer}, dtype=object)
+        left = pd.concat([ups, gone[~gone["key"].isin(roots["key"])], later[answer.isna()]])
+        forgotten = roots["key"].isin(gone["key"])
+        if forgotten.any():
+            kept = roots[~forgotten]
+            self.roots.put(self._pieces(kept)) if len(kept) else self.roots.clear()
+        elif len(told):
+            self.roots.appendList(self._pieces(told))
+        self.open.put(self._pieces(left)) if len(left) else self.open.clear()
+        yield out[answer.notna()]
 
     def close(self) -> None:
         pass
 
 
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Messages of a bucket that lie in one batch as one row."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        bucket = batch["bucket"].to_numpy()
+        order = np.argsort(bucket, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0])
+        rows = pa.RecordBatch.from_arrays([batch[name].cast(pa.string()) for name in MESSAGE], names=MESSAGE).take(pa.array(order))
+        ends = np.r_[starts[1:], len(order)]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[order][starts]), pa.array([packed(rows.slice(a, b - a))[0] for a, b in zip(starts, ends)], pa.binary())],
+                                         names=["bucket", "rows"])
+
+
 def hand_on(parts: DataFrame, log: DataFrame, gone: DataFrame | None = None) -> DataFrame:
     """New rows of the lineage log.
 
@@ -83,7 +108,8 @@ def hand_on(parts: DataFrame, log: DataFrame, gone: DataFrame | None = None) ->
     told = told.unionByName(heard)
     if gone is not None:
         told = told.unionByName(gone.select(F.col("track_id").cast("string").alias("key"), F.lit("gone").alias("kind"), F.lit("").alias("other")))
-    return told.groupBy("key").transformWithStateInPandas(_HandOn(), outputStructType=LOG, outputMode="Append", timeMode="None")
+    told = told.select(F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int").alias("bucket"), *MESSAGE).mapInArrow(_by_bucket, "bucket int, rows binary")
+    return told.groupBy("bucket").transformWithStateInPandas(_HandOn(), outputStructType=LOG, outputMode="Append", timeMode="None")
 
 
 def lineage_log(spark: SparkSession, path: str) -> DataFrame:
