@@ -20,7 +20,7 @@ from pyspark.sql.types import StructType
 from hallwatch.functions.clock import slot, to_micros
 from hallwatch.operators.handover import EDGE_COLUMNS, look_alikes
 from hallwatch.params import DEFAULTS, Params
-from hallwatch.streaming.ordered import PACKED, ROCKSDB, packed, unpacked
+from hallwatch.streaming.ordered import PACKED, packed, state_in_rocksdb, unpacked
 
 LOST = ["exit_id", "from_camera", "exit_us", "until_us", "n_vectors", "flat"]
 NEW = ["entry_id", "to_camera", "entry_us", "vec"]
@@ -68,7 +68,7 @@ class _Compare(StatefulProcessor):
 
 def reappearances(lost: DataFrame, entries: DataFrame, p: Params = DEFAULTS, slot_sec: float | None = None) -> DataFrame:
     """O41 on streams with watermarks on exit_ts and entry_ts; inputs and columns as in the batch operator."""
-    lost.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    state_in_rocksdb(lost.sparkSession)
     length, window = slot_sec or max(p.chunk_sec, p.reappear_sec), to_micros(p.reappear_sec)
     no_end = F.lit(2**62).cast("long")
     us = F.unix_micros("exit_ts")

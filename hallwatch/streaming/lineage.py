@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from hallwatch.streaming import jobs
-from hallwatch.streaming.ordered import PACKED, ROCKSDB, ROWS_AT_ONCE, packed, unpacked
+from hallwatch.streaming.ordered import PACKED, ROWS_AT_ONCE, packed, state_in_rocksdb, unpacked
 
 LOG = "track_id string, kind string, other string"  # its root, or the earlier track it points to from now on
 
@@ -93,7 +93,7 @@ def hand_on(parts: DataFrame, log: DataFrame, gone: DataFrame | None = None) ->
     parts: stream of track_id and exit_id (the track it continues, or null), one row per track; log: the stream of what
     this query has written so far; gone: stream of track_id that nothing can continue any more (as O64 gives them), whose
     state may go."""
-    parts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    state_in_rocksdb(parts.sparkSession)
 
     def message(key: str, kind: str, other: str) -> Column:
         return F.struct(F.col(key).alias("key"), F.lit(kind).alias("kind"), F.col(other).alias("other"))
